@@ -48,3 +48,21 @@ def fresh(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def text_chunks(batch, column: str, limit: int = 1 << 20):
+    """(first, last, texts as bytes) over a record batch, so that a chunk holds about limit bytes, or one longer text.
+
+    Nulls come as empty bytes. Bounds what a Python worker holds at a time.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    values = batch.column(column)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends, n, first = np.cumsum(sizes), len(sizes), 0
+    while first < n:
+        base = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield first, last, [x or b"" for x in values.slice(first, last - first).to_pylist()]
+        first = last
