@@ -50,11 +50,8 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
-def text_chunks(batch, column: str, limit: int = 1 << 20):
-    """(first, last, texts as bytes) over a record batch, so that a chunk holds about limit bytes, or one longer text.
-
-    Nulls come as empty bytes. Bounds what a Python worker holds at a time.
-    """
+def array_chunks(batch, column: str, limit: int = 1 << 20):
+    """(first, last, binary array) over a record batch, so that a chunk holds about limit bytes, or one longer text."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -64,5 +61,11 @@ def text_chunks(batch, column: str, limit: int = 1 << 20):
     while first < n:
         base = ends[first - 1] if first else 0
         last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield first, last, [x or b"" for x in values.slice(first, last - first).to_pylist()]
+        yield first, last, values.slice(first, last - first)
         first = last
+
+
+def text_chunks(batch, column: str, limit: int = 1 << 20):
+    """array_chunks with the texts as a list of bytes; nulls come as empty bytes."""
+    for first, last, values in array_chunks(batch, column, limit):
+        yield first, last, [x or b"" for x in values.to_pylist()]

@@ -25,12 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, text_chunks
+from .common import array_chunks, scratch
 from .files import mapped, new_file
 
 MAGIC = int.from_bytes(b"VMTOKIX1", "little")
 CACHE_WORDS = 700_000
 CACHE_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 STOPS = (b".", b",")
 
 
@@ -118,18 +119,24 @@ class WordEncoder:
         order = order[np.cumsum(sizes) <= self.cache_bytes // 2]
         self._reset([words[k] for k in order], self._gather(order), self.counts[order])
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, ids per text)."""
-        split = [t.lower().split() for t in texts] if self.lower else [t.split() for t in texts]
-        words = list(itertools.chain.from_iterable(split))
-        codes = np.array(list(map(self.slots.get, words, itertools.repeat(-1))), np.int64)
-        unknown = np.flatnonzero(codes < 0)
-        if len(unknown):
-            self._learn(list(dict.fromkeys(words[k] for k in unknown.tolist())))
-            codes[unknown] = np.fromiter((self.slots[words[k]] for k in unknown.tolist()), np.int64, len(unknown))
-        self.uses += np.bincount(codes, minlength=len(self.uses))
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, ids per text). texts: a binary array, nulls count as empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace((pc.ascii_lower if self.lower else lambda x: x)(pc.fill_null(texts, b"").view(pa.string()))))
+        flat = lists.flatten().dictionary_encode()
+        words = flat.dictionary.view(pa.binary()).to_pylist()
+        slots = np.array(list(map(self.slots.get, words, itertools.repeat(-1))), np.int64)
+        unknown = np.flatnonzero(slots < 0).tolist()
+        if unknown:
+            self._learn([words[k] for k in unknown])
+            slots[unknown] = np.fromiter((self.slots[words[k]] for k in unknown), np.int64, len(unknown))
+        at = flat.indices.to_numpy()
+        self.uses[slots] += np.bincount(at, minlength=len(words))
+        codes = slots[at]
         upto = np.concatenate([[0], np.cumsum(self.counts[codes])])
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in split], dtype=np.int64)])
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
         lengths = np.diff(upto[bounds])
         ids = self._gather(codes)
         if len(self.slots) > self.cache_words or self.key_bytes > self.cache_bytes:
@@ -169,7 +176,7 @@ def _writer(folder: str, tokenizer: str, dtype: str, end_id: int):
         with new_file(f"{stem}.tokens") as out:
             for batch in batches:
                 any_rows |= batch.num_rows > 0
-                for first, last, texts in text_chunks(batch, "text"):
+                for first, last, texts in array_chunks(batch, "text", CHUNK_BYTES):
                     found, n = encoder.encode(texts)
                     whole = np.full(len(found) + len(n), end_id, dtype)
                     ends = np.cumsum(n + 1) - 1
