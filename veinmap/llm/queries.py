@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, secrets, simhash, token_output
+from . import decontam, mixing, quality, secrets, simhash, token_output, toxicity
 from .common import table
 
 
@@ -41,12 +41,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), trains=lambda doc_id: ~toxicity.is_held_out(doc_id))
+    return toxicity.score(docs, model).select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_output, op3_secrets, op4_decontamination, op5_simhash, op8_quality, op10_mixing]
+    found = [op1_token_output, op3_secrets, op4_decontamination, op5_simhash, op8_quality, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in found}
 
 
