@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, secrets, simhash, token_output, toxicity
+from . import decontam, mixing, quality, secrets, simhash, token_output, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_index(spark, files)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(spark, warc.write_archive(table(spark, sf_dir, "pages")))
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -52,9 +57,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_output, op3_secrets, op4_decontamination, op5_simhash, op8_quality, op9_toxicity, op10_mixing]
+    found = [op1_token_output, op2_warc, op3_secrets, op4_decontamination, op5_simhash, op8_quality, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": secrets.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op3_secrets": secrets.ORACLE, "op10_mixing": mixing.ORACLE}
