@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, secrets, simhash, token_output, toxicity, warc
+from . import decontam, extract, mixing, quality, secrets, simhash, token_output, toxicity, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_output, op2_warc, op3_secrets, op4_decontamination, op5_simhash, op8_quality, op9_toxicity, op10_mixing]
+    found = [op1_token_output, op2_warc, op3_secrets, op4_decontamination, op5_simhash, op6_html_extraction, op8_quality, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in found}
 
 
