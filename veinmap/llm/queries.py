@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extract, mixing, quality, secrets, simhash, token_output, toxicity, warc
+from . import decontam, extract, line_dedup, mixing, quality, secrets, simhash, token_output, toxicity, warc
 from .common import table
 
 
-def _tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_output.write_tokens(table(spark, sf_dir, "documents"), _tokenizer_path())
+    files = token_output.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_output.read_index(spark, files)
 
 
@@ -45,6 +45,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -61,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_output, op2_warc, op3_secrets, op4_decontamination, op5_simhash, op6_html_extraction, op8_quality, op9_toxicity, op10_mixing]
+    found = [op1_token_output, op2_warc, op3_secrets, op4_decontamination, op5_simhash, op6_html_extraction, op7_line_dedup, op8_quality, op9_toxicity, op10_mixing]
     return {f.__name__: f for f in found}
 
 
