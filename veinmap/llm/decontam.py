@@ -206,7 +206,7 @@ def _load(path: str, window: int) -> Phrases:
     """The block of a file; the last one used is kept."""
     if (path, window) not in _loaded:
         fs, at = filesystem(path)
-        with fs.open_input_stream(at) as f:
+        with fs.open_input_stream(at, compression=None) as f:
             items = pickle.loads(f.read())
         _loaded.clear()
         _loaded[path, window] = phrases(items, window)

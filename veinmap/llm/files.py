@@ -32,7 +32,7 @@ def new_file(uri: str):
     fs.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     try:
-        with fs.open_output_stream(part) as out:
+        with fs.open_output_stream(part, compression=None) as out:
             yield out
         fs.move(part, path)
     except BaseException:

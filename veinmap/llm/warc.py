@@ -11,8 +11,10 @@ Digests are verified when archives are read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from .files import filesystem, new_file
 CRLF = b"\r\n"
 #: A fixed date: archives of equal pages are equal, byte for byte.
 DATE = "2020-01-01T00:00:00Z"
+#: Each record is a gzip member of its own, so that it can be read from its offset alone.
+LEVEL = 4
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -54,7 +58,7 @@ def _writer(folder: str):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        path, n = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc", 0
+        path, n = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc.gz", 0
         rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "address", "size", "refers_to", "revisit", "payload"))))
         first = next(rows, None)
         if first is None:
@@ -64,8 +68,8 @@ def _writer(folder: str):
                 page_id, url, address, size, refers_to, revisit, payload = first
                 body = b"" if revisit else payload or b""
                 digest = base32_sha1(payload or b"")
-                out.write(record_headers("null" if page_id is None else str(page_id), url, "revisit" if revisit else "response", digest, address, size, None if refers_to is None else str(refers_to), len(body)))
-                out.write(body + CRLF + CRLF)
+                head = record_headers("null" if page_id is None else str(page_id), url, "revisit" if revisit else "response", digest, address, size, None if refers_to is None else str(refers_to), len(body))
+                out.write(gzip.compress(head + body + CRLF + CRLF, LEVEL, mtime=0))
                 n += 1
                 first = next(rows, None)
         yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "records": pa.array([n], pa.int64())})
@@ -91,58 +95,31 @@ def write_archive(pages: DataFrame, folder: str | None = None, least_revisit: in
     return [tuple(r) for r in ready.mapInArrow(_writer(folder), "path string, records long").collect()]  # one row per file
 
 
-class _Input:
-    """Bytes of a stream, read in pieces and taken by line ends or counts."""
-
-    def __init__(self, stream, piece: int = 1 << 20):
-        self.stream, self.piece, self.held, self.at, self.passed = stream, piece, b"", 0, 0
-
-    def _more(self) -> bool:
-        new = self.stream.read(self.piece)
-        self.passed += self.at
-        self.held, self.at = self.held[self.at :] + new, 0
-        return bool(new)
-
-    def until(self, mark: bytes) -> bytes:
-        """Up to and with mark; empty at the end of the stream."""
-        while (end := self.held.find(mark, self.at)) < 0:
-            if not self._more():
-                if self.at < len(self.held):
-                    raise ValueError("the archive ends inside a record")
-                return b""
-        out = self.held[self.at : end + len(mark)]
-        self.at = end + len(mark)
-        return out
-
-    def take(self, n: int) -> bytes:
-        while len(self.held) - self.at < n:
-            if not self._more():
+def _members(stream, piece: int = 1 << 20):
+    """(offset, content) of each gzip member of a stream."""
+    held, offset = stream.read(piece), 0
+    while held:
+        inflate, content, used = zlib.decompressobj(31), [], 0
+        while not inflate.eof:
+            if not held and not (held := stream.read(piece)):
                 raise ValueError("the archive ends inside a record")
-        out = self.held[self.at : self.at + n]
-        self.at += n
-        return out
-
-    @property
-    def place(self) -> int:
-        return self.passed + self.at
+            content.append(inflate.decompress(held))
+            used += len(held) - len(inflate.unused_data)
+            held = inflate.unused_data
+        yield offset, b"".join(content)
+        offset += used
+        held = held or stream.read(piece)
 
 
 def records_of(stream):
     """(offset, exact header bytes, headers, block) of each record of an archive."""
-    source = _Input(stream)
-    while True:
-        offset = source.place
-        head = source.until(CRLF + CRLF)
-        if not head:
-            return
-        lines = head[:-4].decode().split("\r\n")
-        if lines[0] != "WARC/1.1":
-            raise ValueError(f"no WARC record at {offset}")
+    for offset, record in _members(stream):
+        end = record.find(CRLF + CRLF) + 4
+        lines = record[: end - 4].decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:])
-        block = source.take(int(headers["Content-Length"]))
-        if source.take(4) != CRLF + CRLF:
-            raise ValueError(f"the record at {offset} does not end where it should")
-        yield offset, head, headers, block
+        if lines[0] != "WARC/1.1" or end + int(headers["Content-Length"]) + 4 != len(record) or record[-4:] != CRLF + CRLF:
+            raise ValueError(f"the record at {offset} is damaged")
+        yield offset, record[:end], headers, record[end:-4]
 
 
 RECORDS = "page_id string, url string, record_type string, payload_digest string, address string, payload_bytes long, refers_to string, headers binary, path string, offset long"
@@ -166,7 +143,7 @@ def _reader(with_payload: bool):
             for path in batch.column("path").to_pylist():
                 fs, at = filesystem(path)
                 rows, held = [], 0
-                with fs.open_input_stream(at) as stream:
+                with fs.open_input_stream(at, compression=None) as stream:
                     for offset, head, h, block in records_of(stream):
                         kind = h["WARC-Type"]
                         address, digest, size = h["X-Payload-SHA256"], h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
