@@ -29,9 +29,9 @@ from .common import array_chunks, scratch
 from .files import mapped, new_file
 
 MAGIC = int.from_bytes(b"VMTOKIX1", "little")
-CACHE_WORDS = 700_000
-CACHE_BYTES = 32 << 20
-CHUNK_BYTES = 8 << 20
+CACHE_WORDS = 400_000
+CACHE_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 STOPS = (b".", b",")
 
 
