@@ -14,5 +14,5 @@ NODES = "node_idx long, node_id string, name string, package string, materializa
 COLUMNS = f"node_id string, ordinal int, column_name string, data_type string, expression string, struct_fields {FIELDS}"
 ORIGINS = "origin_id string, name string"
 EDGES = "edge_idx long, upstream_kind string, upstream_id string, downstream_id string, upstream_column string, downstream_column string"
-CHANGES = "change_idx long, type string, node string, `column` string, field string, from_type string, to_type string, position int, from_kind string, to_kind string"
-FINDINGS = "finding_idx long, severity string, rule string, node string, `column` string, field string, reached string, reached_column string, from_type string, to_type string, position int, from_kind string, to_kind string"
+CHANGES = "change_idx array<long>, type string, node string, `column` string, field string, from_type string, to_type string, position int, from_kind string, to_kind string"
+FINDINGS = "finding_idx array<long>, severity string, rule string, node string, `column` string, field string, reached string, reached_column string, from_type string, to_type string, position int, from_kind string, to_kind string"

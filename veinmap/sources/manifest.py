@@ -14,20 +14,17 @@ class ManifestError(Exception):
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A manifest's one row. Broken JSON and entries without an id, a name or a type are refused."""
+    size = lambda c, test: F.coalesce(F.size(F.filter(F.map_values(c), test)), F.lit(0))
+    lacks = size("nodes", lambda n: n["unique_id"].isNull() | n["name"].isNull() | n["resource_type"].isNull()) + size("sources", lambda n: n["unique_id"].isNull() | n["name"].isNull())
     try:
         df = spark.read.schema(schemas.MANIFEST).option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True).cache()
-        broken = df.filter("_broken IS NOT NULL").count()
-        rows = df.count()
+        found = df.agg(F.count("*").alias("rows"), F.count("_broken").alias("broken"), F.sum(lacks).alias("lacking")).first()
     except Exception as e:  # Spark reports missing and unreadable files by several classes
         raise ManifestError(f"could not read {path}: {str(e).splitlines()[0]}") from e
-    if broken or rows != 1:
+    if found.broken or found.rows != 1:
         raise ManifestError(f"{path} is not a valid manifest")
-    lacking = (
-        df.select(F.explode(F.map_values("nodes")).alias("n")).filter("n.unique_id IS NULL OR n.name IS NULL OR n.resource_type IS NULL").count()
-        + df.select(F.explode(F.map_values("sources")).alias("n")).filter("n.unique_id IS NULL OR n.name IS NULL").count()
-    )
-    if lacking:
-        raise ManifestError(f"{path} is not a valid manifest: {lacking} entries lack an id, a name or a type")
+    if found.lacking:
+        raise ManifestError(f"{path} is not a valid manifest: {found.lacking} entries lack an id, a name or a type")
     return df
 
 
