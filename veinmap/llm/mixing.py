@@ -11,9 +11,8 @@ sums over one row per source.
 Repetitions: a source with target t and size s takes every document floor(t/s)
 times, and some once more until t is reached. Which ones is seeded: documents
 are ordered by md5(seed:doc_id), and those before a cut go once more. The cut
-comes from sums over 65,536 hash buckets (at most that many rows a source,
-however many documents) and then from the documents of one bucket only, so no
-task sees all of a hot source.
+comes from sums over 65,536 hash buckets, narrowed down in two steps of 256, and
+then from the documents of one bucket only, so no task sees all of a hot source.
 """
 
 from __future__ import annotations
@@ -75,16 +74,13 @@ def mix_plan(narrow: DataFrame, share: float = 1.5, max_epochs: float = 2.0, wei
     targets = materialize(targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
 
     t = targets.select(F.col("source").alias("t_source"), "rest")
-    running = Window.partitionBy("source").orderBy("bucket")
-    edge = (
-        sums.join(t, F.col("source").eqNullSafe(F.col("t_source")))
-        .withColumn("upto", F.sum("words").over(running))
-        .filter(F.col("upto") >= F.col("rest"))
-        .groupBy("source")
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("base"), "rest")).alias("e"))
-        .select(F.col("source").alias("e_source"), "e.bucket", "e.base", "e.rest")
-    )
-    inside = narrow.withColumn("bucket", bucket).join(edge.withColumnRenamed("bucket", "e_bucket"), F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
+    # The cut's bucket by two digits, then by four among those that start alike: 256 rows a source each time.
+    coarse = F.substring("bucket", 1, BUCKET_DIGITS // 2)
+    top = sums.join(t, F.col("source").eqNullSafe(F.col("t_source"))).groupBy("source", coarse.alias("bucket"), "rest").agg(F.sum("words").alias("words"))
+    top = materialize(_reaching(top.withColumn("base", F.lit(0))), "mix-top").select(F.col("source").alias("t_source"), F.col("bucket").alias("t_bucket"), "base", "rest")
+    edge = _reaching(sums.join(top, F.col("source").eqNullSafe(F.col("t_source")) & (coarse == F.col("t_bucket"))).select("source", "bucket", "words", "base", "rest"))
+    edge = edge.select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), "base", "rest")
+    inside = narrow.withColumn("bucket", bucket).join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
     # Equal keys (repeated ids) share one decision, so that the cut can stand between keys.
     keys = inside.groupBy("source", "h").agg(F.sum("size").alias("size"), F.first("base").alias("base"), F.first("rest").alias("rest"))
     before = F.col("base") + F.sum("size").over(Window.partitionBy("source").orderBy("h")) - F.col("size")
@@ -98,6 +94,13 @@ def mix_plan(narrow: DataFrame, share: float = 1.5, max_epochs: float = 2.0, wei
     return materialize(plan.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut")), "mix-plan")
 
 
+def _reaching(rows: DataFrame) -> DataFrame:
+    """(source, bucket, base, rest): per source the first bucket in which base and the running sum of words reach rest; base is then what came before it."""
+    upto = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
+    reached = rows.withColumn("upto", upto).filter(F.col("upto") >= F.col("rest"))
+    return reached.groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("base"), "rest")).alias("e")).select("source", "e.*")
+
+
 def _repeats(h: Column) -> Column:
     return F.col("whole") + F.when(h < F.col("cut"), 1).otherwise(0)
 
