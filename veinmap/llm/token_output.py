@@ -66,9 +66,10 @@ class WordEncoder:
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def _encode_each(self, words: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._pending.append((np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts))
+        for at in range(0, len(words), 2000):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 2000], add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._pending.append((np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts))
 
     def _encode_letters(self, words: list[str]) -> None:
         """Words of letters only are one piece each, whose last id is one that ends a word: many go as one text."""
@@ -100,7 +101,8 @@ class WordEncoder:
         self._pending: list[tuple[np.ndarray, np.ndarray]] = []
         self._encode_letters([t for _, t in letters])
         self._encode_each([t for _, t in others])
-        self._add([w for w, _ in letters + others], np.concatenate([x for x, _ in self._pending]), np.concatenate([n for _, n in self._pending]))
+        if self._pending:
+            self._add([w for w, _ in letters + others], np.concatenate([x for x, _ in self._pending]), np.concatenate([n for _, n in self._pending]))
         joined = [x for x in joined if x[0] not in self.slots]
         if joined:
             pieces = np.array([[self.slots[s], self.slots[t]] for _, s, t in joined], np.int64)
