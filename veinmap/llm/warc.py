@@ -68,7 +68,7 @@ def _writer(folder: str):
                 page_id, url, address, size, refers_to, revisit, payload = first
                 body = b"" if revisit else payload or b""
                 digest = base32_sha1(payload or b"")
-                head = record_headers("null" if page_id is None else str(page_id), url, "revisit" if revisit else "response", digest, address, size, None if refers_to is None else str(refers_to), len(body))
+                head = record_headers("null" if page_id is None else str(page_id), url, "revisit" if revisit else "response", digest, address, size, "null" if refers_to is None else str(refers_to), len(body))
                 out.write(gzip.compress(head + body + CRLF + CRLF, LEVEL, mtime=0))
                 n += 1
                 first = next(rows, None)
@@ -83,7 +83,8 @@ def write_archive(pages: DataFrame, folder: str | None = None, least_revisit: in
     Among rows of equal payload of least_revisit bytes or more, the one with the
     largest page_id (null ids are the smallest) is the response and the others
     revisit it; of rows that repeat that page_id one is the response. A null html
-    is an empty payload. An empty table writes no file.
+    is an empty payload. A null id is written, and read back, as null. An empty
+    table writes no file.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -153,7 +154,7 @@ def _reader(with_payload: bool):
                             continue
                         page_id = _page(h["WARC-Record-ID"])
                         row = (None if page_id == "null" else page_id, _restore(h["WARC-Target-URI"]) if "WARC-Target-URI" in h else None, kind, digest, address, size, _page(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None, head, path, offset)
-                        row = (*row[:6], None if row[6] in (None, "None") else row[6], *row[7:])
+                        row = (*row[:6], None if row[6] == "null" else row[6], *row[7:])
                         rows.append((*row, block) if with_payload else row)
                         held += len(block) * with_payload + len(head)
                         if len(rows) >= 5000 or held > 16 << 20:
