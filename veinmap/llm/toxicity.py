@@ -135,9 +135,11 @@ def _counts(batches):
         yield out()
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_labelled: int = 12_000, max_features: int = 3_000, least_texts: int = 8, least_z: float = 5.0, label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_labelled: int = 12_000, max_features: int = 3_000, least_texts: int | None = None, least_z: float = 4.5, label: str = "toxic") -> Model:
     """A model from the sample's labels; trains picks the labelled ids that may be learnt from.
 
+    A feature has to be in least_texts texts of the sample (a 400th of it, from 4
+    to 8, if not given) and to differ from chance by least_z standard deviations.
     Without labels of both kinds every text has the score of the share of positives.
     """
     sample = materialize(labelled_sample(docs, labels, label, max_labelled, keep=trains), "toxicity-sample")
@@ -145,6 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_la
     if not n0 or not n1:
         return Model({}, 8.0 if n1 else -8.0)
     share = n1 / (n0 + n1)
+    least_texts = min(8, max(4, (n0 + n1) // 400)) if least_texts is None else least_texts
     n = F.col("n0") + F.col("n1")
     z = (F.col("n1") - n * share) / F.sqrt(n * share * (1 - share))
     counts = sample.mapInArrow(_counts, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
