@@ -10,7 +10,7 @@ Fields = tuple[tuple[str, str | None], ...]
 
 @dataclass(frozen=True)
 class Expr:
-    """An expression. text is its SQL; fields the struct shape that it states literally."""
+    """An expression. text is its SQL and fields the struct shape that it states literally; both are known of outer expressions only."""
 
     text: str = field(default="", kw_only=True)
     fields: Fields | None = field(default=None, kw_only=True)
