@@ -9,11 +9,12 @@ results. Rows come with their depth and a rank that rises in breadth-first order
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import local, materialize
 from .project import Project
 
 #: Edges that a driver holds easily: some tens of MB.
@@ -73,6 +74,21 @@ def _oriented(edges: DataFrame, side: str) -> DataFrame:
     return rows.select("edge_idx", F.col(names[0]).alias("at"), F.col(names[1]).alias("at_column"), names[2].alias("kind"), F.col(names[3]).alias("to"), F.col(names[4]).alias("to_column"))
 
 
+class _Visited:
+    """Levels reached so far, as one relation: their files side by side, rewritten as one when there are many."""
+
+    def __init__(self, first: DataFrame, most: int = 16):
+        self.levels, self.most = [first], most
+
+    def add(self, level: DataFrame) -> None:
+        self.levels.append(level)
+        if len(self.levels) > self.most:
+            self.levels = [materialize(self.all(), "visited")]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.levels)
+
+
 REACHED = "kind string, id string, depth int, rank long"
 REACHED_COLUMNS = "kind string, id string, `column` string, depth int, rank long"
 
@@ -82,18 +98,18 @@ def closure(edges: DataFrame, seeds: DataFrame, side: str, small: int = SMALL) -
     steps = _oriented(edges, side).select("edge_idx", "at", "kind", "to")
     spark = edges.sparkSession
     if _is_small(steps, small) and _is_small(seeds, small):
-        return spark.createDataFrame(_walk_nodes(steps.collect(), [r.id for r in seeds.collect()]), REACHED)
+        return local(spark, _walk_nodes(steps.collect(), [r.id for r in seeds.collect()]), REACHED)
     steps = materialize(steps, "edges")
     frontier = materialize(seeds.select(F.lit("node").alias("kind"), "id", F.lit(0).alias("depth"), F.monotonically_increasing_id().alias("rank")).dropDuplicates(["id"]), "frontier")
-    visited = frontier
+    visited = _Visited(frontier)
     for depth in range(1, MAX_LEVELS):
         reached = frontier.filter("kind = 'node'").join(steps.withColumnRenamed("kind", "to_kind"), F.col("id") == F.col("at")).groupBy(F.col("to_kind").alias("kind"), F.col("to").alias("id")).agg(F.min(F.struct("rank", "edge_idx")).alias("o"))
-        fresh = reached.join(visited.select("kind", "id"), ["kind", "id"], "left_anti")
+        fresh = reached.join(visited.all().select("kind", "id"), ["kind", "id"], "left_anti")
         frontier = materialize(fresh.orderBy("o").select("kind", "id", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank")), "frontier")
         if frontier.isEmpty():
             break
-        visited = materialize(visited.unionByName(frontier), "visited")
-    return visited.filter("depth > 0")
+        visited.add(frontier)
+    return visited.all().filter("depth > 0")
 
 
 def _is_small(df: DataFrame, small: int) -> bool:
@@ -124,26 +140,30 @@ def column_closure(edges: DataFrame, seeds: DataFrame, side: str, small: int = S
     steps = _oriented(edges, side)
     spark = edges.sparkSession
     if _is_small(steps, small) and _is_small(seeds, small):
-        return spark.createDataFrame(_walk_columns(steps.collect(), [(r.id, r.column) for r in seeds.collect()]), REACHED_COLUMNS)
+        return local(spark, _walk_columns(steps.collect(), [(r.id, r.column) for r in seeds.collect()]), REACHED_COLUMNS)
     steps = materialize(steps, "edges")
     nodes = materialize(steps.select(F.col("at").alias("id")).distinct(), "connected")
     named = steps.filter("at_column IS NOT NULL").withColumnRenamed("kind", "to_kind")
     frontier = materialize(seeds.select(F.lit("node").alias("kind"), "id", "column", F.lit(0).alias("depth"), F.monotonically_increasing_id().alias("rank")).dropDuplicates(["id", "column"]), "frontier")
-    visited, stuck = frontier, None
+    visited, stuck = _Visited(frontier), None
     key = ["kind", "id", "column"]
     for depth in range(1, MAX_LEVELS):
         here = frontier.filter("kind = 'node'")
         on = (F.col("id") == F.col("at")) & (F.col("column") == F.col("at_column"))
         ended = here.join(named.select("at", "at_column"), on, "left_anti").join(nodes, "id", "left_semi").select("id", "depth", "rank")
-        stuck = materialize(ended if stuck is None else stuck.unionByName(ended), "unresolved")
+        ended = materialize(ended, "unresolved")
+        if stuck is None:
+            stuck = _Visited(ended)
+        else:
+            stuck.add(ended)
         reached = here.join(named, on).groupBy(F.col("to_kind").alias("kind"), F.col("to").alias("id"), F.col("to_column").alias("column")).agg(F.min(F.struct("rank", "edge_idx")).alias("o"))
-        fresh = reached.join(visited.select(*key), key, "left_anti")
+        fresh = reached.join(visited.all().select(*key), key, "left_anti")
         frontier = materialize(fresh.orderBy("o").select(*key, F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank")), "frontier")
         if frontier.isEmpty():
             break
-        visited = materialize(visited.unionByName(frontier), "visited")
-    once = stuck.groupBy("id").agg(F.min(F.struct("depth", "rank")).alias("o")).select(F.lit("unresolved").alias("kind"), "id", F.lit(None).cast("string").alias("column"), "o.depth", "o.rank")
-    return visited.filter("depth > 0").unionByName(once)
+        visited.add(frontier)
+    once = stuck.all().groupBy("id").agg(F.min(F.struct("depth", "rank")).alias("o")).select(F.lit("unresolved").alias("kind"), "id", F.lit(None).cast("string").alias("column"), "o.depth", "o.rank")
+    return visited.all().filter("depth > 0").unionByName(once)
 
 
 def _walk_columns(steps: list, seeds: list[tuple[str, str]]) -> list[tuple]:
@@ -168,7 +188,7 @@ def _walk_columns(steps: list, seeds: list[tuple[str, str]]) -> list[tuple]:
 
 def trace(project: Project, name: str, direction: str = "both", package: str | None = None, small: int = SMALL) -> DataFrame:
     """(side, kind, id, depth, rank): what a model is made from and what is made from it."""
-    start = project.nodes.sparkSession.createDataFrame([(find_node(project, name, package),)], "id string")
+    start = local(project.nodes.sparkSession, [(find_node(project, name, package),)], "id string")
     return _sides(lambda side: closure(project.edges, start, side, small), direction)
 
 
@@ -177,7 +197,7 @@ def trace_column(project: Project, name: str, column: str, direction: str = "bot
     node = find_node(project, name, package)
     if project.columns.filter((F.col("node_id") == node) & (F.col("column_name") == column)).isEmpty():
         raise UnknownColumn(name, column)
-    start = project.nodes.sparkSession.createDataFrame([(node, column)], "id string, `column` string")
+    start = local(project.nodes.sparkSession, [(node, column)], "id string, `column` string")
     return _sides(lambda side: column_closure(project.edges, start, side, small), direction)
 
 
@@ -190,17 +210,19 @@ def _sides(walk, direction: str) -> DataFrame:
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, layer): 0 without an upstream, else one more than the furthest upstream; origins count as 0.
 
-    Rounds are bounded by the number of nodes, so cycles end as well.
+    Only nodes that moved pass their layer on. Rounds are bounded by the number
+    of nodes, so cycles end as well.
     """
-    between = materialize(edges.select("upstream_kind", "upstream_id", "downstream_id").distinct(), "edges")
-    found = materialize(nodes.select("node_id", F.lit(0).alias("layer")), "layers")
-    for _ in range(max(1, found.count())):
-        above = between.join(found.select(F.col("node_id").alias("up"), F.col("layer").alias("up_layer")), (F.col("upstream_kind") == "node") & (F.col("upstream_id") == F.col("up")), "left")
-        least = above.groupBy(F.col("downstream_id").alias("d")).agg((F.coalesce(F.max("up_layer"), F.lit(0)) + 1).alias("least"))
-        nxt = materialize(found.join(least, F.col("node_id") == F.col("d"), "left").select("node_id", F.greatest("layer", F.coalesce("least", F.lit(0))).alias("layer"), (F.coalesce("least", F.lit(0)) > F.col("layer")).alias("moved")), "layers")
-        found, moved = nxt.select("node_id", "layer"), not nxt.filter("moved").isEmpty()
-        if not moved:
+    between = materialize(edges.select(F.when(F.col("upstream_kind") == "node", F.col("upstream_id")).alias("up"), F.col("downstream_id").alias("d")).distinct(), "edges")
+    least = between.groupBy("d").agg(F.lit(1).alias("least"))
+    found, rounds = nodes.select("node_id", F.lit(0).alias("layer")), max(1, nodes.count())
+    for _ in range(rounds):
+        raised = F.greatest("layer", F.coalesce("least", F.lit(0)))
+        state = materialize(found.join(least, F.col("node_id") == F.col("d"), "left").select("node_id", raised.alias("layer"), (raised > F.col("layer")).alias("moved")), "layers")
+        found, moved = state.select("node_id", "layer"), state.filter("moved")
+        if moved.isEmpty():
             break
+        least = moved.join(between, F.col("node_id") == F.col("up")).groupBy("d").agg((F.max("layer") + 1).alias("least"))
     return found
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import local
 from .graph import defer_set
 from .project import Project
 
@@ -65,7 +66,7 @@ def schema_evolution(changes: DataFrame, current_nodes: DataFrame) -> DataFrame:
 def evolution_messages(warnings: DataFrame, checks: DataFrame | None = None) -> DataFrame:
     """(change_idx, node, message). checks (node, present): what a live look said; absent relations give no warning, unknown ones a conditional one."""
     if checks is None:
-        checks = warnings.sparkSession.createDataFrame([], "node string, present boolean")
+        checks = local(warnings.sparkSession, [], "node string, present boolean")
     joined = warnings.join(checks, "node", "left").filter("present IS NULL OR present")
     sure = F.format_string("this incrementally-materialized model exists in your target environment; this change requires manual schema evolution: %s", "description")
     maybe = F.format_string("if this incrementally-materialized model already exists in your target environment, this change requires manual schema evolution: %s", "description")
@@ -144,7 +145,7 @@ def build_report(changes: DataFrame, findings: DataFrame, current: Project, targ
     hit = impacted_models(findings).orderBy("first_idx").collect()
     report.impacted_models = [r.name for r in hit]
     if hit:
-        build = current.nodes.sparkSession.createDataFrame([(r.node_id,) for r in hit], "id string")
+        build = local(current.nodes.sparkSession, [(r.node_id,) for r in hit], "id string")
         deferred = [r.name for r in defer_set(current.edges, build).select("id", display_name(F.col("id")).alias("name")).orderBy("id").collect()]
         report.defer_plan = {"build": report.impacted_models, "defer": deferred} | ({"target": target} if target else {}) | ({"state": state} if state else {})
     warnings = evolution_messages(schema_evolution(changes, current.nodes), checks)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators.project import Project, build
 from .sources.manifest import read_manifest
-from .storage import scratch
+from .storage import local, scratch
 
 DB, RAW, MART = "lake", "raw", "mart"
 
@@ -163,7 +163,7 @@ def part_columns(spark: SparkSession, sf_dir: str, state: str) -> Project:
     nodes = brands.select(F.coalesce(number, F.lit(0)).alias("node_idx"), F.col("p_brand").alias("node_id"), F.col("p_brand").alias("name"), F.lit(None).cast("string").alias("package"), F.when(F.coalesce(number, F.lit(0)) % 2 == 0, "incremental").otherwise("table").alias("materialization"), F.array().cast("array<string>").alias("joins"), F.lit(False).alias("unresolved"))
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     edges = line.select(F.monotonically_increasing_id().alias("edge_idx"), F.lit("node").alias("upstream_kind"), F.col("p_brand").alias("upstream_id"), F.concat(F.lit("s:"), "l_suppkey").alias("downstream_id"), F.concat(F.lit("p"), "l_partkey").alias("upstream_column"), F.concat(F.lit("q"), "l_partkey", F.lit("_"), "l_orderkey", F.lit("_"), "l_linenumber").alias("downstream_column"))
-    origins = spark.createDataFrame([], "origin_id string, name string")
+    origins = local(spark, [], "origin_id string, name string")
     return Project(nodes, columns, origins, edges)
 
 

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import local
 from .config import split_words
 
 #: Adapter types that the macro strategy supports.
@@ -68,7 +69,7 @@ def dbt_macro(project_dir: Path, command: str = "dbt", extra: list[str] = ()) ->
 def check_relations(identities: DataFrame, nodes: list[str], lookup: Lookup) -> tuple[DataFrame, list[str]]:
     """((node, present) for the nodes, and what failed). A failed or impossible look leaves present NULL. nodes: those of a report."""
     spark = identities.sparkSession
-    wanted = spark.createDataFrame([(n,) for n in dict.fromkeys(nodes)], "node_id string")
+    wanted = local(spark, [(n,) for n in dict.fromkeys(nodes)], "node_id string")
     rows, failed = [], []
     for r in identities.join(wanted, "node_id", "left_semi").collect():
         try:
@@ -76,4 +77,4 @@ def check_relations(identities: DataFrame, nodes: list[str], lookup: Lookup) ->
         except WarehouseError as e:
             failed.append(str(e))
             rows.append((r.node_id, None))
-    return spark.createDataFrame(rows, "node string, present boolean"), failed
+    return local(spark, rows, "node string, present boolean"), failed
