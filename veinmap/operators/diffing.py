@@ -2,62 +2,58 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .project import Project
 
-FIELDS = ("type", "node", "column", "field", "from_type", "to_type", "position", "from_kind", "to_kind")
-TYPES = {"position": "int"}
+#: A change before it has its node's place: four levels of order within the node, then what it says.
+CHANGE = "struct<o0:int,o1:int,o2:int,o3:int,type:string,`column`:string,field:string,from_type:string,to_type:string,position:int,from_kind:string,to_kind:string>"
+SAID = ("type", "node", "column", "field", "from_type", "to_type", "position", "from_kind", "to_kind")
+ORDER = ("node_idx", "o0", "o1", "o2", "o3")
 JOIN_CHANGES = "array<struct<position:int,from_kind:string,to_kind:string>>"
 
 
-def _change(df: DataFrame, order: tuple[Column | int, ...], **values: Column | str) -> DataFrame:
-    """Rows of changes with the place that each has in the report: node, section, place in it, and two levels below."""
-    cells = [(F.lit(v) if isinstance(v, str) else v).alias(k) if (v := values.get(k)) is not None else F.lit(None).cast(TYPES.get(k, "string")).alias(k) for k in FIELDS]
-    places = [F.lit(0), *(F.lit(x) if isinstance(x, int) else x for x in order), *[F.lit(0)] * (4 - len(order))][1:]
-    return df.select(F.col("node_idx").alias("o_node"), *[x.cast("int").alias(f"o{k}") for k, x in enumerate(places)], *cells)
-
-
-ORDER = ("o_node", "o0", "o1", "o2", "o3")
-
-
-def first_of(df: DataFrame, *keys: str, order: str) -> DataFrame:
-    """Of rows that share keys the one that comes first: what a lookup by name finds."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+def _change(order: tuple[Column | int, ...], **values: Column | str) -> Column:
+    places = [*order, *[0] * (4 - len(order))]
+    names = ("column", "field", "from_type", "to_type", "position", "from_kind", "to_kind")
+    cells = [F.lit(values["type"]), *(values.get(k, F.lit(None)) for k in names)]
+    return F.struct(*[(F.lit(x) if isinstance(x, int) else x).alias(f"o{k}") for k, x in enumerate(places)], *[c.alias(k) for c, k in zip(cells, ("type", *names))]).cast(CHANGE)
 
 
 def column_changes(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """Columns added, retyped or removed, and changes of their struct fields.
+    """(node, c): columns added, retyped or removed, and changes of their struct fields, one CHANGE a row.
 
-    baseline, current: columns with node_idx, of nodes that both states have.
-    Types are compared as text and only where both are documented; struct fields
-    only where both shapes are known.
+    baseline, current: columns. Types are compared as text and only where both
+    are documented; struct fields only where both shapes are known. Of baseline
+    columns that share a name a lookup finds the first. One aggregation and one
+    full outer join on the same key: each side is read and dealt once.
     """
-    key = ("node_id", "column_name")
-    b_first = first_of(baseline, *key, order="ordinal").select(*[F.col(c).alias(f"b_{c}") for c in ("node_id", "column_name", "data_type", "struct_fields")])
-    on_b = (F.col("node_id") == F.col("b_node_id")) & (F.col("column_name") == F.col("b_column_name"))
-    seen = current.join(b_first, on_b, "left")
-    node, column = F.col("node_id"), F.col("column_name")
-    added = _change(seen.filter("b_node_id IS NULL"), (0, F.col("ordinal")), type="column_added", node=node, column=column)
-    both = seen.filter("b_node_id IS NOT NULL")
-    retyped = _change(both.filter("data_type != b_data_type"), (0, F.col("ordinal")), type="column_type_changed", node=node, column=column, from_type=F.col("b_data_type"), to_type=F.col("data_type"))
-
-    shapes = both.filter("struct_fields IS NOT NULL AND b_struct_fields IS NOT NULL AND NOT struct_fields <=> b_struct_fields")
-    # The first field of a name is what a lookup finds; a missing one gives NULL.
-    find = lambda fields, name: F.element_at(F.filter(fields, lambda f: f["name"] == name), 1)
-    has = lambda fields, name: F.exists(fields, lambda f: f["name"] == name)
-    ours = shapes.select("*", F.posexplode("struct_fields").alias("k", "f"))
-    new = _change(ours.filter(~has(F.col("b_struct_fields"), F.col("f.name"))), (0, F.col("ordinal"), 1, F.col("k")), type="struct_field_added", node=node, column=column, field=F.col("f.name"))
-    old = ours.filter(has(F.col("b_struct_fields"), F.col("f.name"))).withColumn("was", find(F.col("b_struct_fields"), F.col("f.name"))["data_type"])
-    other = _change(old.filter("was != f.data_type"), (0, F.col("ordinal"), 1, F.col("k")), type="struct_field_type_changed", node=node, column=column, field=F.col("f.name"), from_type=F.col("was"), to_type=F.col("f.data_type"))
-    theirs = shapes.select("*", F.posexplode("b_struct_fields").alias("k", "f"))
-    gone = _change(theirs.filter(~has(F.col("struct_fields"), F.col("f.name"))), (0, F.col("ordinal"), 2, F.col("k")), type="struct_field_removed", node=node, column=column, field=F.col("f.name"))
-
-    removed = _change(baseline.join(current.select(*key), list(key), "left_anti"), (1, F.col("ordinal")), type="column_removed", node=node, column=column)
-    return reduce(DataFrame.unionByName, (added, retyped, new, other, gone, removed))
+    old = baseline.groupBy(F.col("node_id").alias("b_node"), F.col("column_name").alias("b_column")).agg(
+        F.min(F.struct("ordinal", F.struct("data_type", "struct_fields").alias("d"))).alias("first"), F.sort_array(F.collect_list("ordinal")).alias("ordinals")
+    )  # ordinals of one name in one node
+    both = current.join(old, (F.col("node_id") == F.col("b_node")) & (F.col("column_name") == F.col("b_column")), "full_outer")
+    place, name = F.col("ordinal"), F.col("column_name")
+    was, was_fields, fields = F.col("first.d.data_type"), F.col("first.d.struct_fields"), F.col("struct_fields")
+    added = F.when(F.col("b_node").isNull(), F.array(_change((0, place), type="column_added", column=name)))
+    removed = F.when(F.col("node_id").isNull(), F.transform("ordinals", lambda o: _change((1, o), type="column_removed", column=F.col("b_column"))))
+    retyped = F.when(F.col("data_type") != was, F.array(_change((0, place), type="column_type_changed", column=name, from_type=was, to_type=F.col("data_type"))))
+
+    def of_ours(f: Column, k: Column) -> Column:
+        before = F.filter(was_fields, lambda x: x["name"] == f["name"])
+        new = _change((0, place, 1, k), type="struct_field_added", column=name, field=f["name"])
+        other = _change((0, place, 1, k), type="struct_field_type_changed", column=name, field=f["name"], from_type=before[0]["data_type"], to_type=f["data_type"])
+        return F.when(F.size(before) == 0, new).when(before[0]["data_type"] != f["data_type"], other)
+
+    def of_theirs(f: Column, k: Column) -> Column:
+        return F.when(~F.exists(fields, lambda x: x["name"] == f["name"]), _change((0, place, 2, k), type="struct_field_removed", column=name, field=f["name"]))
+
+    # Only shapes that differ are looked into, so lookups never meet an empty array.
+    differ = fields.isNotNull() & was_fields.isNotNull() & ~fields.eqNullSafe(was_fields)
+    shaped = F.when(differ, F.filter(F.concat(F.transform(fields, of_ours), F.transform(was_fields, of_theirs)), lambda c: c.isNotNull()))
+    none = F.array().cast(f"array<{CHANGE}>")
+    found = F.concat(*[F.coalesce(x, none) for x in (added, removed, retyped, shaped)])
+    return both.select(F.coalesce("node_id", "b_node").alias("node"), F.explode(found).alias("c"))
 
 
 def align(old: list[str], new: list[str]) -> list[tuple[str, str]]:
@@ -108,11 +104,11 @@ def join_edits(old: list[str] | None, new: list[str] | None) -> list[dict]:
 
 
 def join_changes(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """Changes of nodes' join sequences; only nodes whose sequences differ reach the alignment."""
+    """(node, c): changes of nodes' join sequences; only nodes whose sequences differ reach the alignment."""
     edits = F.udf(join_edits, JOIN_CHANGES, useArrow=True)
-    pairs = current.select("node_idx", "node_id", "joins").join(baseline.select(F.col("node_id").alias("b_node_id"), F.col("joins").alias("b_joins")), F.col("node_id") == F.col("b_node_id"))
-    each = pairs.filter("NOT joins <=> b_joins").select("node_idx", "node_id", F.posexplode(edits("b_joins", "joins")).alias("k", "e"))
-    return _change(each, (2, F.col("k")), type="join_changed", node=F.col("node_id"), position=F.col("e.position"), from_kind=F.col("e.from_kind"), to_kind=F.col("e.to_kind"))
+    pairs = current.select("node_id", "joins").join(baseline.select(F.col("node_id").alias("b_node"), F.col("joins").alias("b_joins")), F.col("node_id") == F.col("b_node"))
+    each = pairs.filter("NOT joins <=> b_joins").select(F.col("node_id").alias("node"), F.posexplode(edits("b_joins", "joins")).alias("k", "e"))
+    return each.select("node", _change((2, F.col("k")), type="join_changed", position=F.col("e.position"), from_kind=F.col("e.from_kind"), to_kind=F.col("e.to_kind")).alias("c"))
 
 
 def indexed(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
@@ -127,6 +123,6 @@ def diff(baseline: Project, current: Project) -> DataFrame:
     Nodes that only one state has give nothing.
     """
     shared = current.nodes.select("node_idx", "node_id").join(baseline.nodes.select("node_id"), "node_id")
-    ours, theirs = (p.columns.join(shared, "node_id") for p in (current, baseline))
-    found = column_changes(theirs, ours).unionByName(join_changes(baseline.nodes, current.nodes))
-    return indexed(found, ORDER, "change_idx")
+    found = column_changes(baseline.columns, current.columns).unionByName(join_changes(baseline.nodes, current.nodes))
+    placed = found.join(shared, F.col("node") == F.col("node_id")).select("node_idx", "node", "c.*")
+    return indexed(placed.select(*ORDER, *SAID), ORDER, "change_idx")

@@ -60,13 +60,13 @@ def evaluate(baseline_edges: DataFrame, changes: DataFrame, graveness: dict[str,
         .when(kind == "struct_field_added", "struct-field-added")
         .when((kind == "struct_field_type_changed") & narrowed, "struct-field-type-narrowed")
     )
-    nothing = F.lit(None).cast("string")
-    cells = ("node", "column", "field", "from_type", "to_type", "position", "from_kind", "to_kind")
-    own = changes.withColumn("rule", rule).filter("rule IS NOT NULL").select("change_idx", F.lit(-1).cast("long").alias("edge_idx"), "rule", *cells, nothing.alias("reached"), nothing.alias("reached_column"))
-    edges = baseline_edges.filter("upstream_kind = 'node' AND upstream_column IS NOT NULL").select("edge_idx", "upstream_id", "upstream_column", F.col("downstream_id").alias("reached"), F.col("downstream_column").alias("reached_column"))
-    broken = changes.filter(kind == "column_removed").join(edges, (F.col("node") == F.col("upstream_id")) & (F.col("column") == F.col("upstream_column")))
-    broken = broken.select("change_idx", "edge_idx", F.lit("column-removed-with-active-references").alias("rule"), *cells, "reached", "reached_column")
-    found = indexed(own.unionByName(broken), ("change_idx", "edge_idx"), "finding_idx")
+    edges = baseline_edges.filter("upstream_kind = 'node' AND upstream_column IS NOT NULL").select(F.coalesce("edge_idx", F.lit(0)).alias("edge_idx"), "upstream_id", "upstream_column", F.col("downstream_id").alias("reached"), F.col("downstream_column").alias("reached_column"))
+    # Only removed columns have a key that edges can meet; all other changes pass the join alone.
+    keyed = changes.withColumn("gone", F.when(kind == "column_removed", F.col("column")))
+    met = keyed.join(edges, (F.col("node") == F.col("upstream_id")) & (F.col("gone") == F.col("upstream_column")), "left")
+    broken = (kind == "column_removed") & F.col("upstream_id").isNotNull()
+    named = met.withColumn("rule", F.when(broken, "column-removed-with-active-references").otherwise(rule)).withColumn("edge_idx", F.coalesce("edge_idx", F.lit(-1)))
+    found = indexed(named.filter("rule IS NOT NULL"), ("change_idx", "edge_idx"), "finding_idx")
     table = graveness or severities()
     grave = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     return found.select("finding_idx", grave[F.col("rule")].alias("severity"), "rule", "node", "column", "field", "reached", "reached_column", "from_type", "to_type", "position", "from_kind", "to_kind")

@@ -195,7 +195,7 @@ def diff_schema_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = (sample.event_joins(spark, sf_dir, s) for s in ("old", "new"))
-    return diffing.join_changes(old, new).select("node", "position", "from_kind", "to_kind")
+    return diffing.join_changes(old, new).select("node", "c.position", "c.from_kind", "c.to_kind")
 
 
 # The bundled models, run
