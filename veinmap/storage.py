@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, as the cluster names it in spark.checkpoint.dir.
@@ -28,7 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/veinmap/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/veinmap/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Remove what this process wrote to the shared folder; for sessions that run long, once results have been read. Returns how many paths were there."""
+    gone = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
