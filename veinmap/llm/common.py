@@ -1,41 +1,12 @@
-"""What the training-data operators share: the shared folder, cut lineage, tables."""
+"""What the training-data operators share: tables, fresh names, texts in chunks. Cut lineage is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialize, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see, as the cluster names it in spark.checkpoint.dir.
-
-    Where the setting is absent a local master gets a folder of its own; a real
-    cluster without the setting is refused, since a machine-local folder would
-    lose data there.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="veinmap-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/veinmap/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["array_chunks", "fresh", "materialize", "scratch", "shared_dir", "table", "text_chunks"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +22,17 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def array_chunks(batch, column: str, limit: int = 1 << 20):
-    """(first, last, binary array) over a record batch, so that a chunk holds about limit bytes, or one longer text."""
+    """(first, last, binary array) over a text column of a record batch, so that a chunk holds about limit bytes, or one longer text.
+
+    What Arrow has freed goes back to the system after each batch: two workers
+    and a JVM share an executor's memory.
+    """
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     values = batch.column(column)
+    values = values.view(pa.binary()) if pa.types.is_string(values.type) else values
     sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     ends, n, first = np.cumsum(sizes), len(sizes), 0
     while first < n:
@@ -63,6 +40,7 @@ def array_chunks(batch, column: str, limit: int = 1 << 20):
         last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield first, last, values.slice(first, last - first)
         first = last
+    pa.default_memory_pool().release_unused()
 
 
 def text_chunks(batch, column: str, limit: int = 1 << 20):

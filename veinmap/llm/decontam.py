@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, scratch, text_chunks
+from .common import scratch, text_chunks
 from .files import filesystem, new_file
 
 WINDOW = 8
@@ -298,14 +298,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_ite
     A column n_chars follows the text where that changes. Documents without an
     occurrence come back as they are.
     """
-    paths, body = write_blocks(benchmark), fresh(docs, "_decontam_text")
+    paths = write_blocks(benchmark)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             clean_rows, changed, row = [], {}, 0
-            for _, _, texts in text_chunks(batch, body, SHARD_BYTES):
+            for _, _, texts in text_chunks(batch, "text", SHARD_BYTES):
                 found = scan_shard(texts, paths, window)
                 for text, items, spans in zip(texts, found.items, found.spans):
                     clean_rows.append(len(items) < least_items)
@@ -313,7 +313,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_ite
                         changed[row] = without_spans(text, spans)
                     row += 1
             if changed:
-                texts = batch.column(body).to_pylist()
+                texts = batch.column("text").view(pa.binary()).to_pylist()
                 for k, text in changed.items():
                     texts[k] = text
                 batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).view(batch.schema.field("text").type))
@@ -322,6 +322,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_ite
                     for row, text in changed.items():
                         sizes[row] = len(text.decode("utf-8", "replace"))
                     batch = batch.set_column(k, "n_chars", pa.array(sizes, batch.schema.field("n_chars").type))
-            yield batch.drop_columns([body]).filter(pa.array(clean_rows, pa.bool_()))
-
-    return docs.withColumn(body, F.col("text").cast("binary")).mapInArrow(run, docs.schema)
+            yield batch.filter(pa.array(clean_rows, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+#: DuckDB SQL for the query: windows as joined words, found by an equality join.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, m, unnest(list_transform(range(len(w) - m + 1), lambda k: array_to_string(w[k + 1:k + m], ' '))) AS win FROM (SELECT *, least(8, len(w)) AS m FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, m, unnest(range(len(w) - m + 1)) AS k, unnest(list_transform(range(len(w) - m + 1), lambda k: array_to_string(w[k + 1:k + m], ' '))) AS win FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m),
+h AS (SELECT doc_id, k, m, item FROM dw JOIN bw USING (m, win)),
+p AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(k, k + m)) AS q FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items, sha256(coalesce(i.s, '')) AS items_sha256, coalesce(i.n, 0) >= 2 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN i USING (doc_id)
+"""

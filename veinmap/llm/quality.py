@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_chunks
+from .common import text_chunks
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -246,13 +246,13 @@ def judge(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFr
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
-    over = verdicts(body := fresh(docs, "_quality_text"), model, threshold)
+    over = verdicts("text", model, threshold)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             kept = [np.empty(0, bool), *(k for *_, k in over(batch))]
-            yield batch.drop_columns([body]).filter(pa.array(np.concatenate(kept)))
+            yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.withColumn(body, F.col("text").cast("binary")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE, "op3_secrets": secrets.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op2_warc": warc.ORACLE, "op3_secrets": secrets.ORACLE, "op4_decontamination": decontam.ORACLE, "op10_mixing": mixing.ORACLE}
