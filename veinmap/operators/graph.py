@@ -97,8 +97,8 @@ def closure(edges: DataFrame, seeds: DataFrame, side: str, small: int = SMALL) -
     """(kind, id, depth, rank) of all that seeds (id) reach, seeds excluded; origins end a walk."""
     steps = _oriented(edges, side).select("edge_idx", "at", "kind", "to")
     spark = edges.sparkSession
-    if _is_small(steps, small) and _is_small(seeds, small):
-        return local(spark, _walk_nodes(steps.collect(), [r.id for r in seeds.collect()]), REACHED)
+    if (few := _few(steps, small)) is not None and (starts := _few(seeds.select("id"), small)) is not None:
+        return local(spark, _walk_nodes(few, [x for (x,) in starts]), REACHED)
     steps = materialize(steps, "edges")
     frontier = materialize(seeds.select(F.lit("node").alias("kind"), "id", F.lit(0).alias("depth"), F.monotonically_increasing_id().alias("rank")).dropDuplicates(["id"]), "frontier")
     visited = _Visited(frontier)
@@ -112,14 +112,16 @@ def closure(edges: DataFrame, seeds: DataFrame, side: str, small: int = SMALL) -
     return visited.all().filter("depth > 0")
 
 
-def _is_small(df: DataFrame, small: int) -> bool:
-    return df.limit(small + 1).count() <= small
+def _few(df: DataFrame, most: int) -> list[tuple] | None:
+    """The rows of df on the driver if there are most or fewer, else None."""
+    found = df.limit(most + 1).toArrow()
+    return list(zip(*(c.to_pylist() for c in found.columns))) if found.num_rows <= most else None
 
 
-def _walk_nodes(steps: list, seeds: list[str]) -> list[tuple]:
+def _walk_nodes(steps: list[tuple], seeds: list[str]) -> list[tuple]:
     out_of = defaultdict(list)
-    for s in sorted(steps, key=lambda r: r.edge_idx):
-        out_of[s.at].append((s.kind, s.to))
+    for _, at, kind, to in sorted(steps, key=lambda s: s[0]):
+        out_of[at].append((kind, to))
     level, seen, out, depth = list(dict.fromkeys(seeds)), {("node", s) for s in seeds}, [], 0
     while level:
         depth += 1
@@ -139,8 +141,8 @@ def column_closure(edges: DataFrame, seeds: DataFrame, side: str, small: int = S
     """
     steps = _oriented(edges, side)
     spark = edges.sparkSession
-    if _is_small(steps, small) and _is_small(seeds, small):
-        return local(spark, _walk_columns(steps.collect(), [(r.id, r.column) for r in seeds.collect()]), REACHED_COLUMNS)
+    if (few := _few(steps, small)) is not None and (starts := _few(seeds.select("id", "column"), small)) is not None:
+        return local(spark, _walk_columns(few, starts), REACHED_COLUMNS)
     steps = materialize(steps, "edges")
     nodes = materialize(steps.select(F.col("at").alias("id")).distinct(), "connected")
     named = steps.filter("at_column IS NOT NULL").withColumnRenamed("kind", "to_kind")
@@ -166,12 +168,12 @@ def column_closure(edges: DataFrame, seeds: DataFrame, side: str, small: int = S
     return visited.all().filter("depth > 0").unionByName(once)
 
 
-def _walk_columns(steps: list, seeds: list[tuple[str, str]]) -> list[tuple]:
+def _walk_columns(steps: list[tuple], seeds: list[tuple[str, str]]) -> list[tuple]:
     out_of, connected = defaultdict(list), set()
-    for s in sorted(steps, key=lambda r: r.edge_idx):
-        connected.add(s.at)
-        if s.at_column is not None:
-            out_of[s.at, s.at_column].append((s.kind, s.to, s.to_column))
+    for _, at, at_column, kind, to, to_column in sorted(steps, key=lambda s: s[0]):
+        connected.add(at)
+        if at_column is not None:
+            out_of[at, at_column].append((kind, to, to_column))
     level, out, depth, stuck = list(dict.fromkeys(seeds)), [], 0, {}
     seen = {("node", *s) for s in level}
     while level:
