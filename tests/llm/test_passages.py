@@ -1,0 +1,69 @@
+import random
+import re
+
+from tests.conftest import SF
+from tests.llm.fixtures import documents, empty, sentences
+from tests.llm.test_lines import brute
+from veinmap.llm import line_dedup, queries
+
+WORDS = sentences(60, seed=3)
+
+
+def brute_passages(rows, size=50):
+    """The words that brute and then every run of size words leave, by (id, text)."""
+    rest, seen, out = brute(rows), set(), {}
+    for (doc_id, text), (left, _, _) in sorted(rest.items(), key=lambda r: (r[0][0] is not None, r[0][0] or 0)):
+        words, gone = re.findall(rb"\S+", (left or "").encode()), set()
+        for k in range(len(words) - size + 1):
+            gram = tuple(words[k : k + size])
+            gone |= set(range(k, k + size)) if gram in seen else set()
+            seen.add(gram)
+        out[doc_id, text] = [w for k, w in enumerate(words) if k not in gone]
+    return out
+
+
+def plant(r, passage):
+    """The passage amid words of its own, mid-sentence, on one line or over two."""
+    own = lambda: " ".join("".join(r.choice("ijklmnop") for _ in range(6)) for _ in range(r.randint(3, 25)))
+    words = passage.split()
+    cut = r.randrange(1, len(words))
+    return f"{own()} {' '.join(words[:cut])}{r.choice([' ', chr(10)])}{' '.join(words[cut:])} {own()}.\n{own()}"
+
+
+def test_passages_planted_mid_sentence_go(spark):
+    r = random.Random(8)
+    pool = [" ".join(" ".join(r.sample(WORDS, 4)).replace(".", "").split()[:n]) for n in (49, 50, 51, 56, 75)]
+    rows = [(k, plant(r, pool[k % len(pool)])) for k in range(60)]
+    rows += [(100, ("x y z " * 40).strip()), (101, None), (102, ""), (103, rows[4][1]), (None, rows[2][1])]
+    docs = spark.createDataFrame([(*x, "z", "z") for x in rows], "doc_id long, text string, tie string, places string")
+    expected = brute_passages(rows)
+    got = line_dedup.dedup_passages(docs).collect()
+    assert len(got) == len(rows)
+    for (doc_id, text), words in expected.items():
+        mine = next(g for g in got if g.doc_id == doc_id)
+        assert (mine.text or "").encode().split() == words and (mine.text is None) == (text is None)
+    short, long = pool[0].split(), pool[3].split()
+    texts = {g.doc_id: " ".join((g.text or "").split()) for g in got}
+    assert sum(" ".join(short) in t for t in texts.values()) == len([k for k in range(60) if k % 5 == 0])
+    assert sum(" ".join(long) in t for t in texts.values()) == 1 and all(g.n_removed for g in got if g.doc_id is not None and 5 <= g.doc_id < 60 and g.doc_id % 5)
+
+
+def test_documents(spark):
+    docs = documents(spark)
+    got = line_dedup.dedup_passages(docs)
+    assert got.count() == docs.count() and got.filter("text IS NULL").count() == 1
+    assert line_dedup.dedup_passages(empty(docs)).count() == 0
+
+
+def test_lines_keep_their_ends():
+    words = " ".join(f"w{k}" for k in range(50))
+    assert line_dedup._cut_grams(f"a\n{words}\nb".encode(), [1]) == (b"a\nb", 1)
+    assert line_dedup._cut_grams(f"a {words} \nb".encode(), [1])[0] == b"a \nb"
+    assert line_dedup._cut_grams(f"a {words} b".encode(), [1])[0] == b"a b"
+
+
+def test_query(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    expected = brute_passages(docs)
+    got = {r.doc_id: r for r in queries.queries()["op7_line_dedup"](spark, SF).collect()}
+    assert len(got) == len(docs) and all((got[d].text or "").encode().split() == expected[d, t] for d, t in docs)

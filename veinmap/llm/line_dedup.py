@@ -8,6 +8,13 @@ Of all equal windows in the corpus, the first in order of document id and place
 stays, and the lines of the later ones go: overlapping windows merge into the
 set of covered lines.
 
+Passages that hold no three whole lines are found word by word. In what the lines
+leave, every PASSAGE consecutive words make a gram, whatever the white space
+between them; of all equal grams the first stays and the words of the later ones
+go. Only grams that can repeat are listed: a gram's anchor is the least hash
+among the runs of RUN words in it, equal grams have equal anchors, and the grams
+whose anchor stands at one place of the corpus alone are passed over.
+
 Rows that repeat a document id with the same text count as one document.
 """
 
@@ -20,11 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, text_chunks
+from .common import materialize, text_chunks
 
 WIDTH = 3
 SPLIT_OVER = 30
 SENTENCE_END = re.compile(rb"(?<=[.!?])[ \t]+(?=[^\s])")
+PASSAGE = 50
+RUN = 25
+ODD = np.uint64(0x9E3779B97F4A7C15)
 WINDOWS = "doc_id {kind}, tie long, h1 array<long>, h2 array<long>"
 
 
@@ -87,18 +97,155 @@ def _cut(text: bytes, places: list[int], width: int) -> tuple[bytes, int, int]:
     return b"".join(kept) + text[at:], len(lines), int(covered[:-1].sum())
 
 
+def _lines_removed(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed, tie): see dedup."""
+    later = later_windows(docs).select(F.col("doc_id").alias("l_id"), F.col("tie").alias("l_tie"), "places")
+    left = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    joined = left.join(later, left["doc_id"].eqNullSafe(F.col("l_id")) & (F.col("tie") == F.col("l_tie")), "left")
+    ready = joined.select("doc_id", "tie", F.col("text").cast("binary").alias("text"), "places")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for first, last, texts in text_chunks(batch, "text"):
+                rows = slice(first, last)
+                nulls = batch.column("text")[rows].is_null().to_pylist()
+                found = [_cut(t, p or [], width) for t, p in zip(texts, batch.column("places")[rows].to_pylist())]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id")[rows],
+                    "text": pa.array([None if n else t for n, (t, _, _) in zip(nulls, found)], pa.binary()).view(pa.string()),
+                    "n_lines": pa.array([n for _, n, _ in found], pa.int64()),
+                    "n_removed": pa.array([n for _, _, n in found], pa.int64()),
+                    "tie": batch.column("tie")[rows],
+                })
+
+    return ready.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_removed long, tie long")
+
+
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of every document, later repeats of windows removed.
 
+    Passages of fewer whole lines than a window stay; dedup_passages takes them too.
     A null text stays null and an empty one empty, without lines; ids order
     documents, null first; an empty table gives an empty result. Other columns
     are not read.
     """
-    places, tie = fresh(docs, "_line_places"), fresh(docs, "_line_tie")
-    later = later_windows(docs).select(F.col("doc_id").alias("l_id"), F.col("tie").alias("l_tie"), F.col("places").alias(places))
-    left = docs.select("doc_id", "text").withColumn(tie, F.xxhash64("text"))
-    joined = left.join(later, left["doc_id"].eqNullSafe(F.col("l_id")) & (F.col(tie) == F.col("l_tie")), "left")
-    ready = joined.select("doc_id", F.col("text").cast("binary").alias("text"), F.col(places).alias("places"))
+    return _lines_removed(docs, width).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def _slide(values: np.ndarray, size: int, best) -> np.ndarray:
+    """best (np.minimum or np.maximum) of each size consecutive values."""
+    reach = 1
+    while 2 * reach <= size:
+        values = best(values[:-reach], values[reach:])
+        reach *= 2
+    return best(values[: len(values) - (size - reach)], values[size - reach :])
+
+
+def _runs(words: list[bytes]) -> np.ndarray:
+    """A hash of each RUN consecutive words."""
+    h = xxhash.xxh64_intdigest
+    each = np.fromiter(map(h, words), np.uint64, len(words))
+    out = np.zeros(len(words) - RUN + 1, np.uint64)
+    for k in range(RUN):
+        out = out * ODD + each[k : k + len(out)]
+    out ^= out >> np.uint64(32)
+    out *= ODD
+    return out ^ (out >> np.uint64(29))
+
+
+def anchors_of(text: bytes) -> np.ndarray:
+    """The anchors of a text's grams, each once, or twice where it stands at several places of the text."""
+    words = text.split()
+    if len(words) < PASSAGE:
+        return np.empty(0, np.uint64)
+    runs, span = _runs(words), PASSAGE - RUN + 1
+    least = _slide(runs, span, np.minimum)
+    pad = np.zeros(span - 1, np.uint64)
+    values, counts = np.unique(runs[runs == _slide(np.concatenate([pad, least, pad]), span, np.maximum)], return_counts=True)
+    return np.concatenate([values, values[counts > 1]])
+
+
+def grams_of(text: bytes, anchors: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(first words, 128-bit hashes) of the grams that have one of the anchors."""
+    words = text.split()
+    at = np.flatnonzero(np.isin(_slide(_runs(words), PASSAGE - RUN + 1, np.minimum), anchors))
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return at.astype(np.int32), b"".join(xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(starts[at].tolist(), ends[at + PASSAGE - 1].tolist()))
+
+
+def _cut_grams(text: bytes, places: list[int]) -> tuple[bytes, int]:
+    """(the text without the words of the grams at places, lines that lost words)."""
+    words = [m.span() for m in re.finditer(rb"\S+", text)]
+    covered = np.zeros(len(words) + 1, np.int64)
+    for k in places:
+        covered[k] += 1
+        covered[min(k + PASSAGE, len(words))] -= 1
+    gone = np.concatenate([[0], np.cumsum(covered)[:-1] > 0, [0]])
+    turns = np.flatnonzero(np.diff(gone)).reshape(-1, 2)
+    kept, spans, at = [], [], 0
+    for i, j in turns.tolist():
+        a, b = words[i][0], words[j - 1][1]
+        spans.append((a, b))
+        while b < len(text) and text[b : b + 1].isspace() and text[b] != 10:
+            b += 1
+        if not text[text.rfind(b"\n", 0, a) + 1 : a].strip() and text[b : b + 1] == b"\n":
+            b += 1  # a line that is gone whole takes its end along
+        kept.append(text[at:a])
+        at = b
+    return b"".join(kept) + text[at:], sum(any(a < y and x < b for x, y in spans) for a, b in lines_of(text))
+
+
+def _anchor_rows(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for first, last, texts in text_chunks(batch, "text"):
+            found = [anchors_of(t).view(np.int64) for t in texts]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), batch.column("tie").slice(first, last - first), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], ["doc_id", "tie", "anchors"])
+
+
+def _gram_rows(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for first, last, texts in text_chunks(batch, "text"):
+            for k, (text, anchors) in enumerate(zip(texts, batch.column("anchors").slice(first, last - first).to_pylist())):
+                at, hashes = grams_of(text, np.array(anchors, np.int64).view(np.uint64))
+                both = np.frombuffer(hashes, "<i8").reshape(-1, 2)
+                same = pa.array(np.full(len(at), first + k))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(same), batch.column("tie").take(same), pa.array(at), *(pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1))], ["doc_id", "tie", "place", "h1", "h2"])
+
+
+def _later_grams(rows: DataFrame, kind: str) -> DataFrame:
+    """(l_id, l_tie, places): of each document, the grams that occur earlier in the corpus. rows is a stored table."""
+    texts = rows.filter(F.length("text") >= 2 * PASSAGE - 1).select("doc_id", "tie", F.col("text").cast("binary").alias("text"))
+    listed = materialize(texts.mapInArrow(_anchor_rows, f"doc_id {kind}, tie long, anchors array<long>"), "passage-anchors")
+    each = listed.select("doc_id", "tie", F.explode("anchors").alias("anchor"))
+    repeated = materialize(each.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("r_anchor")), "passage-repeats")
+    mine = each.join(repeated, F.col("anchor") == F.col("r_anchor")).groupBy(F.col("doc_id").alias("m_id"), F.col("tie").alias("m_tie")).agg(F.collect_set("anchor").alias("anchors"))  # anchors of one text at most
+    found = texts.join(mine, texts["doc_id"].eqNullSafe(F.col("m_id")) & (F.col("tie") == F.col("m_tie"))).select("doc_id", "tie", "text", "anchors")
+    grams = materialize(found.mapInArrow(_gram_rows, f"doc_id {kind}, tie long, place int, h1 long, h2 long"), "passage-grams")
+    here = F.struct("doc_id", "tie", "place")
+    first = grams.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = materialize(first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), "passage-first")
+    again = grams.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).filter(~here.eqNullSafe(F.col("first")))
+    return again.groupBy(F.col("doc_id").alias("l_id"), F.col("tie").alias("l_tie")).agg(F.collect_set("place").alias("places"))  # places of one text at most
+
+
+def dedup_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """dedup, and of what it leaves the later repeats of PASSAGE words or more, wherever they start and end.
+
+    n_removed counts the lines that dedup removes and, in the text it leaves, the
+    lines that lose words.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = materialize(_lines_removed(docs, width), "line-rest")
+    joined = rows.join(_later_grams(rows, kind), rows["doc_id"].eqNullSafe(F.col("l_id")) & (F.col("tie") == F.col("l_tie")), "left")
 
     def run(batches):
         import pyarrow as pa
@@ -107,12 +254,13 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for first, last, texts in text_chunks(batch, "text"):
                 rows = slice(first, last)
                 nulls = batch.column("text")[rows].is_null().to_pylist()
-                found = [_cut(t, p or [], width) for t, p in zip(texts, batch.column("places")[rows].to_pylist())]
+                found = [_cut_grams(t, p) if p else (t, 0) for t, p in zip(texts, batch.column("places")[rows].to_pylist())]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id")[rows],
-                    "text": pa.array([None if n else t for n, (t, _, _) in zip(nulls, found)], pa.binary()).view(pa.string()),
-                    "n_lines": pa.array([n for _, n, _ in found], pa.int64()),
-                    "n_removed": pa.array([n for _, _, n in found], pa.int64()),
+                    "text": pa.array([None if n else t for n, (t, _) in zip(nulls, found)], pa.binary()).view(pa.string()),
+                    "n_lines": batch.column("n_lines")[rows],
+                    "n_removed": pa.array([a + n for a, (_, n) in zip(batch.column("n_removed")[rows].to_pylist(), found)], pa.int64()),
                 })
 
-    return ready.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_removed long")
+    ready = joined.select("doc_id", F.col("text").cast("binary").alias("text"), "n_lines", "n_removed", "places")
+    return ready.mapInArrow(run, f"doc_id {kind}, text string, n_lines long, n_removed long")
