@@ -65,7 +65,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, column: str = "fp", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, column): fingerprints as signed 64-bit numbers; a null or empty text has zero."""
+    """(doc_id, tie, column): fingerprints as signed 64-bit numbers; a null or empty text has zero. tie is the text's hash."""
 
     def run(batches):
         import pyarrow as pa
@@ -73,9 +73,9 @@ def with_fingerprints(docs: DataFrame, column: str = "fp", width: int = SHINGLE)
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
                 found = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(found)], ["doc_id", column])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), batch.column("tie").slice(first, last - first), pa.array(found)], ["doc_id", "tie", column])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {column} long")
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, {column} long")
 
 
 class Forest:
@@ -286,19 +286,20 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHIN
 
 
 def _classes(marked: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, component_id) from a stored (doc_id, fp)."""
+    """(fp, root, component_id) from a stored (doc_id, fp): root is a component's least fingerprint, component_id its least doc_id."""
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = materialize(components(near_links(distinct.select("fp"), max_bits)), "simhash-roots")
     rooted = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     least = materialize(least, "simhash-least")
-    return materialize(rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
+    return materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-classes")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> DataFrame:
     """The rows of docs that stand for their component, those of its least doc_id, with all their columns.
 
     Of rows that repeat that doc_id one stays: the one with the least text hash.
+    Components that share an id keep one row together; keep_each keeps one each.
     """
     marked = materialize(with_fingerprints(docs, width=width), "simhash-fp")
     chosen = marked.join(_classes(marked, max_bits), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
@@ -311,3 +312,23 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) ->
     rank = fresh(docs, "_simhash_rank")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
     return kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).drop(rank)
+
+
+def keep_each(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> DataFrame:
+    """One row of docs for each component, with all its columns: the one with the least doc_id, then the least text hash.
+
+    A component's row does not depend on what other components' ids are: texts
+    that share a doc_id, or have none, each stand for their own. Null ids come
+    last. Of rows equal in id and text any one stays.
+    """
+    marked = materialize(with_fingerprints(docs, width=width), "simhash-fp")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
+    least = marked.join(_classes(marked, max_bits), "fp").groupBy("root").agg(F.min(order).alias("least"))
+    chosen = materialize(least.select(F.col("least.doc_id").alias("c_id"), F.col("least.tie").alias("c_tie")), "simhash-chosen")
+    tie = fresh(docs, "_simhash_tie")
+    tied = docs.withColumn(tie, F.xxhash64("text"))
+    kept = tied.join(chosen, tied["doc_id"].eqNullSafe(F.col("c_id")) & (F.col(tie) == F.col("c_tie")), "left_semi")
+    repeated = marked.groupBy("doc_id", "tie").count().filter("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", tie])
+    return kept.drop(tie)
