@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
-Each host has a wrapper: the tree of one of its pages, runs of alike siblings
-folded into one node. Every page of the host is aligned with it by simple tree
-matching. A wrapper node whose text is the same in most of the distinct pages
+Each layout of a host, told by the outer nodes' labels, has a wrapper: the tree of
+one of its pages, runs of alike siblings folded into one node. Layouts of too few
+pages share the wrapper of the host's main layout. Every page is aligned with its
+wrapper by simple tree matching. A wrapper node whose text is the same in most of the distinct pages
 aligned with it is constant, so template; the others are slots. Counts of all
-pages of a host decide, gathered as sums per wrapper node. A page's content is
+pages of a wrapper decide, gathered as sums per wrapper node. A page's content is
 then what its slots hold, less what its marks say is not the article: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
 Where a page marks its article, the content is that element; what is constant
@@ -251,22 +252,47 @@ def _pack(batches):
 
     for batch in batches:
         for first, last, texts in text_chunks(batch, "html"):
-            yield pa.RecordBatch.from_arrays([batch.column("host").slice(first, last - first), pa.array([packed(fold(body_of(r))) for r in _decoded(texts)])], ["host", "wrapper"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in ("host", "layout")), pa.array([packed(fold(body_of(r))) for r in _decoded(texts)])], ["host", "layout", "wrapper"])
+
+
+def layout_of(page: Fold) -> int:
+    """A number that pages of equal layout share: the labels down to the first node with several children, and theirs. Zero if there is nothing."""
+    if not page.children and not page.text:
+        return 0
+    path = [page.label]
+    while len(page.children) == 1:
+        page = page.children[0]
+        path.append(page.label)
+    return int(np.uint64(xxhash.xxh64_intdigest("\n".join([*path, "", *_shape(page)]).encode())).astype(np.int64)) or 1
+
+
+def _lay(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for first, last, texts in text_chunks(batch, "html"):
+            rows = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([layout_of(fold(body_of(r))) for r in _decoded(texts)], pa.int64())], [*rows.schema.names, "layout"])
+
+
+def with_layout(pages: DataFrame) -> DataFrame:
+    """pages (with a binary html) and the layout of each."""
+    return pages.mapInArrow(_lay, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema) + ", layout long")
 
 
 def _count(batches):
-    """Per task and host: how many distinct pages align with each wrapper node, and how many of them have its text."""
+    """Per task and wrapper: how many distinct pages align with each wrapper node, and how many of them have its text."""
     import pyarrow as pa
 
-    sums: dict[tuple[str, int], list[int]] = {}
-    wrappers: dict[str, list] = {}
+    sums: dict[tuple[tuple[str, int], int], list[int]] = {}
+    wrappers: dict[tuple[str, int], list] = {}
 
     def out():
         keys = list(sums)
-        return pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in keys]), "node": pa.array([n for _, n in keys], pa.int32()), "aligned": pa.array([sums[k][0] for k in keys], pa.int64()), "same": pa.array([sums[k][1] for k in keys], pa.int64())})
+        return pa.RecordBatch.from_pydict({"host": pa.array([h for (h, _), _ in keys]), "layout": pa.array([x for (_, x), _ in keys], pa.int64()), "node": pa.array([n for _, n in keys], pa.int32()), "aligned": pa.array([sums[k][0] for k in keys], pa.int64()), "same": pa.array([sums[k][1] for k in keys], pa.int64())})
 
     for batch in batches:
-        hosts, packs = batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()
+        hosts, packs = list(zip(batch.column("host").to_pylist(), batch.column("w_layout").to_pylist())), batch.column("wrapper").to_pylist()
         for first, _, texts in text_chunks(batch, "html"):
             for k, root in enumerate(_decoded(texts)):
                 host = hosts[first + k]
@@ -288,26 +314,34 @@ def _count(batches):
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, constant): a wrapper per host, and its constant nodes, from all distinct pages of the host.
+    """(w_host, p_layout, w_layout, wrapper, constant): for each layout of a host its wrapper and the constant nodes, from all distinct pages.
 
-    pages: host, html (binary), page (a number that equal pages share). The
-    wrapper's tree is that of the page with the least number.
+    pages: host, layout, html (binary), page (a number that equal pages share). A
+    wrapper's tree is that of its layout's page with the least number. Layouts of
+    fewer than LEAST_PAGES pages share the wrapper of the host's main layout.
     """
-    by_page = Window.partitionBy("host").orderBy("page")
-    first = pages.withColumn("rank", F.row_number().over(by_page)).filter("rank = 1").select("host", "html")
-    wrappers = materialize(first.mapInArrow(_pack, "host string, wrapper string"), "wrappers")
-    w = wrappers.select(F.col("host").alias("w_host"), "wrapper")
-    sums = pages.join(w, F.col("host") == F.col("w_host")).select("host", "html", "wrapper").mapInArrow(_count, "host string, node int, aligned long, same long")
-    sums = sums.groupBy("host", "node").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
-    constant = sums.filter((F.col("aligned") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("aligned"))).groupBy("host").agg(F.collect_list("node").alias("constant"))  # nodes of one wrapper tree at most
-    return materialize(w.join(constant, F.col("w_host") == F.col("host"), "left").select("w_host", "wrapper", F.coalesce("constant", F.array().cast("array<int>")).alias("constant")), "wrappers-marked")
+    by_page = Window.partitionBy("host", "layout").orderBy("page")
+    first = pages.withColumn("rank", F.row_number().over(by_page)).filter("rank = 1").select(F.col("host").alias("f_host"), F.col("layout").alias("f_layout"), "html")
+    sizes = materialize(pages.groupBy("host", "layout").agg(F.count("*").alias("n")), "layouts")
+    # A page without content is no host's main layout while there is another.
+    main = sizes.groupBy("host").agg(F.max(F.struct(F.col("layout") != 0, "n", "layout")).alias("main")).select(F.col("host").alias("m_host"), F.col("main.layout").alias("main"))
+    own = (F.col("n") >= LEAST_PAGES) & (F.col("layout") != 0)
+    plan = materialize(sizes.join(main, F.col("host") == F.col("m_host")).select("host", "layout", F.when(own, F.col("layout")).otherwise(F.col("main")).alias("w_layout")), "layout-plan")
+    used = plan.select(F.col("host").alias("u_host"), F.col("w_layout").alias("u_layout")).distinct()
+    chosen = first.join(used, (F.col("f_host") == F.col("u_host")) & (F.col("f_layout") == F.col("u_layout"))).select(F.col("f_host").alias("host"), F.col("f_layout").alias("layout"), "html")
+    wrappers = materialize(chosen.mapInArrow(_pack, "host string, layout long, wrapper string"), "wrappers").select(F.col("host").alias("w_host"), F.col("layout").alias("u_layout"), "wrapper")
+    w = plan.join(wrappers, (F.col("host") == F.col("w_host")) & (F.col("w_layout") == F.col("u_layout"))).select("w_host", F.col("layout").alias("p_layout"), "w_layout", "wrapper")
+    sums = pages.join(w, (F.col("host") == F.col("w_host")) & (F.col("layout") == F.col("p_layout"))).select("host", "w_layout", "html", "wrapper").mapInArrow(_count, "host string, layout long, node int, aligned long, same long")
+    sums = sums.groupBy("host", "layout", "node").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
+    constant = sums.filter((F.col("aligned") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("aligned"))).groupBy("host", "layout").agg(F.collect_list("node").alias("constant"))  # nodes of one wrapper tree at most
+    return materialize(w.join(constant, (F.col("w_host") == F.col("host")) & (F.col("w_layout") == F.col("layout")), "left").select("w_host", "p_layout", "w_layout", "wrapper", F.coalesce("constant", F.array().cast("array<int>")).alias("constant")), "wrappers-marked")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     A null or empty html has an empty text; pages without a host share the
-    wrapper of the empty host; rows of equal or null page_id are each extracted;
+    wrappers of the empty host; rows of equal or null page_id are each extracted;
     an empty table gives an empty result. Copies of a page count once for what
     is constant on a host.
     """
@@ -316,14 +350,15 @@ def extract(pages: DataFrame) -> DataFrame:
     kept = ready.groupBy("host", "page").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
     copies = materialize(kept.filter("n > 1").select(F.col("host").alias("k_host"), F.col("page").alias("k_page"), "least"), "page-copies")
     distinct = ready.join(copies, (F.col("host") == F.col("k_host")) & (F.col("page") == F.col("k_page")), "left").filter(F.col("k_page").isNull() | F.col("page_id").eqNullSafe(F.col("least")))
-    marked = induce(distinct.select("host", "html", "page"))
+    marked = induce(with_layout(distinct.select("host", "html", "page")))
 
     def run(batches):
         import pyarrow as pa
 
-        wrappers: dict[str, list] = {}
+        wrappers: dict[tuple[str, int], list] = {}
         for batch in batches:
-            hosts, packs, constants = (batch.column(c).to_pylist() for c in ("host", "wrapper", "constant"))
+            names, layouts, packs, constants = (batch.column(c).to_pylist() for c in ("host", "w_layout", "wrapper", "constant"))
+            hosts = list(zip(names, layouts))
             for first, last, texts in text_chunks(batch, "html"):
                 found = []
                 for k, root in enumerate(_decoded(texts)):
@@ -339,6 +374,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 rows = slice(first, last)
                 yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id")[rows], "url": batch.column("url")[rows], "text": pa.array(found, pa.string()), "n_chars": pa.array(np.array([len(t) for t in found], np.int64))})
 
-    joined = ready.join(marked, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "host", "html", "wrapper", "constant")
+    laid = with_layout(ready.select("page_id", "url", "host", "html"))
+    joined = laid.join(marked, (F.col("host") == F.col("w_host")) & (F.col("layout") == F.col("p_layout")), "left").select("page_id", "url", "host", "html", "w_layout", "wrapper", "constant")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
