@@ -3,13 +3,14 @@
 Each layout of a host, told by the outer nodes' labels, has a wrapper: the tree of
 one of its pages, runs of alike siblings folded into one node. Layouts of too few
 pages share the wrapper of the host's main layout. Every page is aligned with its
-wrapper by simple tree matching. A wrapper node whose text is the same in most of the distinct pages
-aligned with it is constant, so template; the others are slots. Counts of all
+wrapper by simple tree matching. A text that
+stands in a wrapper node on most of the distinct pages aligned with it is
+constant, so template; what else the node holds is its slot. Counts of all
 pages of a wrapper decide, gathered as sums per wrapper node. A page's content is
 then what its slots hold, less what its marks say is not the article: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
-Where a page marks its article, the content is that element; what is constant
-in there stays, since copies of a page repeat its article too.
+Where a page marks its article, the content is that element, less the constant
+texts in there, unless these are over half of it: then near copies repeat it.
 """
 
 from __future__ import annotations
@@ -66,12 +67,13 @@ def is_landmark(e: Element) -> bool:
 
 @dataclass(slots=True)
 class Fold:
-    """A node of a wrapper: a label, the digest of its own text, its children, and the elements folded into it."""
+    """A node of a wrapper: a label, the digest of its own text, its children, and the elements folded into it, with the digest of each one's text."""
 
     label: str
     text: int
     children: tuple
     elements: list
+    texts: list
 
 
 def fold(e: Element) -> Fold:
@@ -89,12 +91,14 @@ def fold(e: Element) -> Fold:
             if children and children[-1].label == node.label and _shape(children[-1]) == _shape(node):
                 last = children[-1]
                 last.elements += node.elements
+                last.texts += node.texts
                 last.text = xxhash.xxh64_intdigest(f"{last.text} {node.text}".encode())
             else:
                 children.append(node)
     kind = e.attribute("class", "id") if e.attributes else ""
     text = SPACE.sub(" ", "".join(own)).strip()
-    return Fold(f"{e.tag}.{kind}" if kind else e.tag, xxhash.xxh64_intdigest(text.encode()) if text else 0, tuple(children), [e])
+    digest = xxhash.xxh64_intdigest(text.encode()) if text else 0
+    return Fold(f"{e.tag}.{kind}" if kind else e.tag, digest, tuple(children), [e], [digest])
 
 
 def _shape(node: Fold) -> tuple:
@@ -232,15 +236,26 @@ def _landmarks(e: Element) -> list[Element]:
 
 
 def main_text(root: Element, template: set[int] = frozenset()) -> str:
-    """The article's blocks, joined by empty lines. template: ids of elements that the wrapper knows as constant."""
+    """The article's blocks, joined by empty lines. template: ids of elements that the wrapper knows as constant.
+
+    A marked article that would lose over half of its text is itself repeated on
+    the host, by near copies of the page, and is kept whole.
+    """
     body = body_of(root)
     marked = _landmarks(body)
-    blocks: list[list[str]] = [[]]
-    for e in marked or [body]:
-        blocks.append([])
-        _texts(e, set() if marked else template, blocks, bool(marked))
-    texts = (SPACE.sub(" ", "".join(b)).strip() for b in blocks)
-    return "\n\n".join(t for t in texts if t)
+
+    def text(skip: set[int]) -> str:
+        blocks: list[list[str]] = [[]]
+        for e in marked or [body]:
+            blocks.append([])
+            _texts(e, skip, blocks, bool(marked))
+        texts = (SPACE.sub(" ", "".join(b)).strip() for b in blocks)
+        return "\n\n".join(t for t in texts if t)
+
+    left = text(template)
+    if marked and template and 2 * len(left) < len(whole := text(set())):
+        return whole
+    return left
 
 
 def _decoded(texts: list[bytes]) -> list[Element]:
@@ -281,15 +296,15 @@ def with_layout(pages: DataFrame) -> DataFrame:
 
 
 def _count(batches):
-    """Per task and wrapper: how many distinct pages align with each wrapper node, and how many of them have its text."""
+    """Per task and wrapper node: how many distinct pages have each text in it (same); the row of digest zero counts all pages that align with text (aligned)."""
     import pyarrow as pa
 
-    sums: dict[tuple[tuple[str, int], int], list[int]] = {}
+    sums: dict[tuple[tuple[str, int], int, int], int] = {}
     wrappers: dict[tuple[str, int], list] = {}
 
     def out():
         keys = list(sums)
-        return pa.RecordBatch.from_pydict({"host": pa.array([h for (h, _), _ in keys]), "layout": pa.array([x for (_, x), _ in keys], pa.int64()), "node": pa.array([n for _, n in keys], pa.int32()), "aligned": pa.array([sums[k][0] for k in keys], pa.int64()), "same": pa.array([sums[k][1] for k in keys], pa.int64())})
+        return pa.RecordBatch.from_pydict({"host": pa.array([h for (h, _), _, _ in keys]), "layout": pa.array([x for (_, x), _, _ in keys], pa.int64()), "node": pa.array([n for _, n, _ in keys], pa.int32()), "digest": pa.array(np.array([d for _, _, d in keys], np.uint64).view(np.int64)), "n": pa.array([sums[k] for k in keys], pa.int64())})
 
     for batch in batches:
         hosts, packs = list(zip(batch.column("host").to_pylist(), batch.column("w_layout").to_pylist())), batch.column("wrapper").to_pylist()
@@ -302,10 +317,9 @@ def _count(batches):
                     wrappers[host] = unpacked(packs[first + k])
                 wrapper = wrappers[host]
                 for node, at in match(wrapper, fold(body_of(root))).items():
-                    if wrapper[node][1]:
-                        s = sums.setdefault((host, node), [0, 0])
-                        s[0] += 1
-                        s[1] += at.text == wrapper[node][1]
+                    if not at.children and any(at.texts):
+                        for digest in {0, *at.texts}:
+                            sums[host, node, digest] = sums.get((host, node, digest), 0) + 1
             if len(sums) > 100_000:
                 yield out()
                 sums.clear()
@@ -331,10 +345,12 @@ def induce(pages: DataFrame) -> DataFrame:
     chosen = first.join(used, (F.col("f_host") == F.col("u_host")) & (F.col("f_layout") == F.col("u_layout"))).select(F.col("f_host").alias("host"), F.col("f_layout").alias("layout"), "html")
     wrappers = materialize(chosen.mapInArrow(_pack, "host string, layout long, wrapper string"), "wrappers").select(F.col("host").alias("w_host"), F.col("layout").alias("u_layout"), "wrapper")
     w = plan.join(wrappers, (F.col("host") == F.col("w_host")) & (F.col("w_layout") == F.col("u_layout"))).select("w_host", F.col("layout").alias("p_layout"), "w_layout", "wrapper")
-    sums = pages.join(w, (F.col("host") == F.col("w_host")) & (F.col("layout") == F.col("p_layout"))).select("host", "w_layout", "html", "wrapper").mapInArrow(_count, "host string, layout long, node int, aligned long, same long")
-    sums = sums.groupBy("host", "layout", "node").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
-    constant = sums.filter((F.col("aligned") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("aligned"))).groupBy("host", "layout").agg(F.collect_list("node").alias("constant"))  # nodes of one wrapper tree at most
-    return materialize(w.join(constant, (F.col("w_host") == F.col("host")) & (F.col("w_layout") == F.col("layout")), "left").select("w_host", "p_layout", "w_layout", "wrapper", F.coalesce("constant", F.array().cast("array<int>")).alias("constant")), "wrappers-marked")
+    sums = pages.join(w, (F.col("host") == F.col("w_host")) & (F.col("layout") == F.col("p_layout"))).select("host", "w_layout", "html", "wrapper").mapInArrow(_count, "host string, layout long, node int, digest long, n long")
+    sums = materialize(sums.groupBy("host", "layout", "node", "digest").agg(F.sum("n").alias("n")).filter(F.col("n") > 1), "wrapper-texts")
+    whole = sums.filter((F.col("digest") == 0) & (F.col("n") >= LEAST_PAGES)).select(F.col("host").alias("a_host"), F.col("layout").alias("a_layout"), F.col("node").alias("a_node"), F.col("n").alias("aligned"))
+    same = sums.filter("digest != 0").join(whole, (F.col("host") == F.col("a_host")) & (F.col("layout") == F.col("a_layout")) & (F.col("node") == F.col("a_node")))
+    constant = same.filter(F.col("n") >= CONSTANT_SHARE * F.col("aligned")).groupBy("host", "layout").agg(F.collect_list(F.struct("node", "digest")).alias("constant"))  # what most pages of one layout share
+    return materialize(w.join(constant, (F.col("w_host") == F.col("host")) & (F.col("w_layout") == F.col("layout")), "left").select("w_host", "p_layout", "w_layout", "wrapper", F.coalesce("constant", F.array().cast("array<struct<node:int,digest:bigint>>")).alias("constant")), "wrappers-marked")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -369,7 +385,8 @@ def extract(pages: DataFrame) -> DataFrame:
                                 wrappers.clear()
                             wrappers[host] = unpacked(packs[first + k])
                         aligned = match(wrappers[host], fold(body_of(root)))
-                        template = {id(e) for n in constants[first + k] if n in aligned and aligned[n].text == wrappers[host][n][1] and not aligned[n].children for e in aligned[n].elements}
+                        constant = {(c["node"], c["digest"] % (1 << 64)) for c in constants[first + k]}
+                        template = {id(e) for n, at in aligned.items() if not at.children for e, digest in zip(at.elements, at.texts) if (n, digest) in constant}
                     found.append(main_text(root, template))
                 rows = slice(first, last)
                 yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id")[rows], "url": batch.column("url")[rows], "text": pa.array(found, pa.string()), "n_chars": pa.array(np.array([len(t) for t in found], np.int64))})
