@@ -23,7 +23,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.read_records(spark, warc.write_archive(table(spark, sf_dir, "pages")))
+    records = warc.resolved(warc.read_records(spark, warc.write_archive(table(spark, sf_dir, "pages"))))
     return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

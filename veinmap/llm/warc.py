@@ -183,6 +183,18 @@ def read_payloads(spark: SparkSession, files: list[tuple[str, int]]) -> DataFram
     return _over(spark, files, True).select("address", "payload_bytes", "payload").dropDuplicates(["address", "payload_bytes"])
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """records with each revisit's digest and size held against the stored response of its address; one without, or with another digest, fails the query.
+
+    Responses are verified against their own payloads when they are read.
+    """
+    stored = records.filter("record_type = 'response'").groupBy(F.col("address").alias("s_address"), F.col("payload_bytes").alias("s_bytes")).agg(F.min("payload_digest").alias("s_digest"))
+    joined = records.join(stored, (F.col("address") == F.col("s_address")) & (F.col("payload_bytes") == F.col("s_bytes")), "left")
+    right = F.col("payload_digest").eqNullSafe(F.col("s_digest"))
+    fail = F.raise_error(F.concat(F.lit("no stored payload of this digest at "), F.col("address"))).cast("string")
+    return joined.withColumn("payload_digest", F.when(right, F.col("s_digest")).otherwise(fail)).select(records.columns)
+
+
 def reconstruct(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
     """Original records: page_id, url, headers and the full payload, revisits included."""
     return read_records(spark, files).join(read_payloads(spark, files), ["address", "payload_bytes"]).select("page_id", "url", "headers", "payload")
