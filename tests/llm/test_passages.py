@@ -67,3 +67,10 @@ def test_query(spark):
     expected = brute_passages(docs)
     got = {r.doc_id: r for r in queries.queries()["op7_line_dedup"](spark, SF).collect()}
     assert len(got) == len(docs) and all((got[d].text or "").encode().split() == expected[d, t] for d, t in docs)
+
+
+def test_copies_without_an_id_are_documents_of_their_own(spark):
+    text = "One line.\nAnother line.\nA third line.\nA fourth."
+    docs = spark.createDataFrame([(None, text)] * 5 + [(1, text), (1, text)], "doc_id long, text string").repartition(3)
+    for got in (line_dedup.dedup(docs).collect(), line_dedup.dedup_passages(docs).collect()):
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", text), *[("None", "")] * 4, *[("1", "")] * 2])

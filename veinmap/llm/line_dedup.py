@@ -15,7 +15,8 @@ go. Only grams that can repeat are listed: a gram's anchor is the least hash
 among the runs of RUN words in it, equal grams have equal anchors, and the grams
 whose anchor stands at one place of the corpus alone are passed over.
 
-Rows that repeat a document id with the same text count as one document.
+Rows that repeat a document id with the same text count as one document; rows
+without an id are a document each.
 """
 
 from __future__ import annotations
@@ -70,10 +71,16 @@ def _hash(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), batch.column("tie").slice(first, last - first), *columns], ["doc_id", "tie", "h1", "h2"])
 
 
+def tied(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tie): tie tells rows of one id apart. It is the text's hash; without an id it is a number of the row, stored with it so that it stays."""
+    none = materialize(docs.filter("doc_id IS NULL").select("doc_id", "text", F.monotonically_increasing_id().alias("tie")), "line-no-id")
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("tie")).unionByName(none)
+
+
 def later_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, places): of each document, the windows that occur earlier in the corpus. tie is the text's hash."""
+    """(doc_id, tie, places): of each document of a table with ties, the windows that occur earlier in the corpus."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
+    keyed = docs.select("doc_id", "tie", F.col("text").cast("binary").alias("text"))
     hashed = materialize(keyed.mapInArrow(_hash, WINDOWS.format(kind=kind)), "line-windows")
     each = hashed.select("doc_id", "tie", F.posexplode(F.arrays_zip("h1", "h2"))).select("doc_id", "tie", F.col("pos").alias("place"), "col.h1", "col.h2")
     first = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -99,8 +106,8 @@ def _cut(text: bytes, places: list[int], width: int) -> tuple[bytes, int, int]:
 
 def _lines_removed(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, text, n_lines, n_removed, tie): see dedup."""
-    later = later_windows(docs).select(F.col("doc_id").alias("l_id"), F.col("tie").alias("l_tie"), "places")
-    left = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    left = tied(docs)
+    later = later_windows(left).select(F.col("doc_id").alias("l_id"), F.col("tie").alias("l_tie"), "places")
     joined = left.join(later, left["doc_id"].eqNullSafe(F.col("l_id")) & (F.col("tie") == F.col("l_tie")), "left")
     ready = joined.select("doc_id", "tie", F.col("text").cast("binary").alias("text"), "places")
 
