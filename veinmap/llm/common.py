@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import materialize, scratch, shared_dir
 
-__all__ = ["array_chunks", "fresh", "materialize", "scratch", "shared_dir", "table", "text_chunks"]
+__all__ = ["array_chunks", "fresh", "materialize", "scratch", "shared_dir", "small_batches", "table", "text_chunks"]
+
+#: Bytes of a batch between the JVM and Python workers, where the session does not say.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,13 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of batches to and from Python workers, unless the session does. Rows alone bound nothing where texts are long: both sides hold a batch whole."""
+    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, str(BATCH_BYTES))
+
+
 def array_chunks(batch, column: str, limit: int = 1 << 20):
     """(first, last, binary array) over a text column of a record batch, so that a chunk holds about limit bytes, or one longer text.
 
