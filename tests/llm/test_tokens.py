@@ -19,7 +19,6 @@ def whole():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -30,7 +29,7 @@ def array(texts):
 @pytest.mark.parametrize("cache", [3, 200, 100_000])
 def test_words_in_a_row_are_the_whole_text(whole, cache):
     encoder = tok.WordEncoder(PATH, cache_words=cache, cache_bytes=50 * cache)
-    texts = [*TEXTS, "it's I'LL we've 'S", "<|endoftext|> a<|startoftext|>b", "İstanbul ΑΣ ﬁ Å é ́x", "1.5, 2,, ...a a., (b). «c».", "a\u0000b"]
+    texts = [*TEXTS, "it's I'LL we've 'S", "<|endoftext|> a<|startoftext|>b", "A <|EndOfText|> <|ENDOFTEXT|>.", "x<|endoftext|>, <|endoftext|>. <|startoftext|>y. <|startoftext|><|endoftext|>z", "<| endoftext|> <|endoftext", "İstanbul ΑΣ ﬁ Å é ́x", "1.5, 2,, ...a a., (b). «c».", "a\u0000b"]
     for _ in range(2):
         for k in range(0, len(texts), 5):
             part = texts[k : k + 5]
@@ -43,13 +42,12 @@ _shared = []
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(max_size=40), max_size=6))
+@given(st.lists(st.text(max_size=40) | st.lists(st.sampled_from(['<|endoftext|>', '<|EndOfText|>', '<|startoftext|>', ' ', 'A', 'b.', "'S", '<|', 'İ'])).map(''.join), max_size=6))
 def test_any_text(texts):
     from tokenizers import Tokenizer
 
     if not _shared:
         t = Tokenizer.from_file(PATH)
-        t.encode_special_tokens = True
         _shared.extend([t, tok.WordEncoder(PATH, cache_words=50)])
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     ids, n = _shared[1].encode(array(texts))
@@ -57,6 +55,11 @@ def test_any_text(texts):
     assert n.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
 
 
+def test_special_strings_are_special_tokens(whole):
+    assert whole("a <|endoftext|> b") == [320, 49407, 321]
+    assert tok.WordEncoder(PATH).encode(array(["a <|endoftext|> b"]))[0].tolist() == [320, 49407, 321]
+
+
 def test_files_read_back(spark, whole):
     docs = documents(spark)
     files = tok.write_tokens(docs, PATH)

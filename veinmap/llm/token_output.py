@@ -11,7 +11,9 @@ Encoding is word by word: the tokenizers meant here drop white space and mark th
 ends of words, never merging across them, so a text's ids are those of its words
 in a row. Workers
 keep the ids of words already seen, in bounded memory; new words go through the
-tokenizers library in batches.
+tokenizers library in batches. Special tokens' strings in a text get their ids, as
+in the library's plain call; they are looked for before lower-casing, so a chunk
+that seems to hold one is encoded with its case.
 """
 
 from __future__ import annotations
@@ -43,11 +45,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.ends_word = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
         self.ends_word[[k for w, k in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
         normalizer = self.tokenizer.normalizer
         self.lower = normalizer is not None and normalizer.normalize_str("AZ") == "az"  # then case need not reach the cache
+        self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache_words, self.cache_bytes = cache_words, cache_bytes
         self._reset([], np.empty(0, np.uint32), np.empty(0, np.int64))
 
@@ -126,7 +128,10 @@ class WordEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace((pc.ascii_lower if self.lower else lambda x: x)(pc.fill_null(texts, b"").view(pa.string()))))
+        texts = pc.fill_null(texts, b"").view(pa.string())
+        if self.lower and not any(pc.any(pc.match_substring(texts, x, ignore_case=True)).as_py() for x in self.special):
+            texts = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
         flat = lists.flatten().dictionary_encode()
         words = flat.dictionary.view(pa.binary()).to_pylist()
         slots = np.array(list(map(self.slots.get, words, itertools.repeat(-1))), np.int64)
