@@ -6,15 +6,21 @@ positions in code points. All parts of a text, a handful of numbers each, are
 dealt by row; the text itself is not.
 
 Parts play roles: identifiers, secrets, endpoints. Strong kinds are reported as
-they are. Weak kinds are reported only where parts of the complementary roles
-begin within scope characters, found by an interval join of a text's parts with
-themselves, expressed as range frames over their starts:
+they are. A weak part that overlaps a strong one says nothing new, and a weak
+secret that overlaps an endpoint is a piece of its path; neither counts as a part.
+The other weak parts are reported only where complementary ones stand apart from
+them, with at most scope characters between the end of one and the start of the
+other:
 
-- a weak identifier needs a secret in scope,
+- a weak identifier needs a secret,
 - a weak secret needs an identifier,
 - an endpoint needs both.
 
-A weak part that overlaps a strong one says nothing new and is dropped.
+Both questions are interval joins of a text's parts with themselves. Each part
+gives two marks, at its start and at its end, and range frames over the marks
+answer them: parts that overlap [a, b) are those that start before b less those
+that end by a, and a complement after a part has a start mark within scope of its
+end. The parts of one text, a few numbers each, are sorted in one task.
 """
 
 from __future__ import annotations
@@ -70,24 +76,40 @@ def parts(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     placed = rows.withColumn("stop", F.sum(F.col("gap") + F.col("width")).over(along)).withColumn("start", F.col("stop") - F.col("width"))
     # Failing matches took part in the positions and go now; the row of a text without parts stays.
     placed = placed.filter(F.col("good").isNull() | F.col("good") | (F.col("i") == 0)).withColumn("good", F.coalesce("good", F.lit(False)))
+    strong, marks = _among(lambda x: x[3]), Window.partitionBy("row_id").orderBy("at")
 
-    def is_role(role: str) -> Column:
-        return F.col("good") & F.col("rank").isin(*[k for k, x in enumerate(KINDS) if x[2] == role])
-
-    strong = F.col("good") & F.col("rank").isin(*[k for k, x in enumerate(KINDS) if x[3]])
-    by_start = Window.partitionBy("row_id").orderBy("start")
-    near = by_start.rangeBetween(-scope, scope)
-    seen = placed.withColumns({
-        "strong": strong,
-        "strong_stop": F.max(F.when(strong, F.col("stop"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0)),
-        "strong_start": F.min(F.when(strong, F.col("start"))).over(by_start.rangeBetween(0, scope)),
-        "near_identifier": F.max(is_role("identifier")).over(near),
-        "near_secret": F.max(is_role("secret")).over(near),
-    })
-    covered = F.coalesce(F.col("strong_stop") > F.col("start"), F.lit(False)) | F.coalesce(F.col("strong_start") < F.col("stop"), F.lit(False))
-    complement = F.when(is_role("identifier"), F.col("near_secret")).when(is_role("secret"), F.col("near_identifier")).otherwise(F.col("near_identifier") & F.col("near_secret"))
-    reported = F.col("good") & (F.col("strong") | (~covered & complement))
-    return seen.select("row_id", "doc_id", "rank", "start", "stop", reported.alias("reported"))
+    def overlapping(kind: Column) -> Column:
+        """Parts of a kind that overlap: a start mark counts, negatively, those that end by it, an end mark those that start before it."""
+        ended = F.count_if(~F.col("at_start") & kind).over(marks.rangeBetween(Window.unboundedPreceding, 0))
+        begun = F.count_if(F.col("at_start") & kind).over(marks.rangeBetween(Window.unboundedPreceding, -1))
+        return F.when(F.col("at_start"), -ended).otherwise(begun)
+
+    covered = _marks(placed).withColumns({"strong_over": overlapping(F.col("good") & strong), "endpoint_over": overlapping(F.col("good") & _among(lambda x: x[0] == "endpoint"))})
+    parts_ = covered.groupBy("row_id", "rank", "i").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("stop").alias("stop"), F.first("good").alias("good"), F.sum("strong_over").alias("strong_over"), F.sum("endpoint_over").alias("endpoint_over"))
+    inside = (F.col("strong_over") > 0) | _among(lambda x: x[0] == "weak_secret") & (F.col("endpoint_over") > 0)
+    valid = parts_.withColumn("good", F.col("good") & (strong | ~inside))
+
+    def near(role: str) -> Column:
+        """Whether a part of a role ends within scope before a start mark, or starts within scope after an end mark."""
+        is_role = F.col("good") & _among(lambda x: x[2] == role)
+        before = F.max(~F.col("at_start") & is_role).over(marks.rangeBetween(-scope, 0))
+        after = F.max(F.col("at_start") & is_role).over(marks.rangeBetween(0, scope))
+        return F.when(F.col("at_start"), before).otherwise(after)
+
+    linked = _marks(valid).withColumns({"near_identifier": near("identifier"), "near_secret": near("secret")})
+    found = linked.groupBy("row_id", "rank", "i").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("stop").alias("stop"), F.first("good").alias("good"), F.max("near_identifier").alias("near_identifier"), F.max("near_secret").alias("near_secret"))
+    complement = F.when(_among(lambda x: x[2] == "identifier"), F.col("near_secret")).when(_among(lambda x: x[2] == "secret"), F.col("near_identifier")).otherwise(F.col("near_identifier") & F.col("near_secret"))
+    return found.select("row_id", "doc_id", "rank", "start", "stop", (F.col("good") & (strong | complement)).alias("reported"))
+
+
+def _among(kinds) -> Column:
+    """Whether a part is of one of the kinds that a condition picks."""
+    return F.col("rank").isin(*[k for k, x in enumerate(KINDS) if kinds(x)])
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """Each part twice: at its start and at its end."""
+    return rows.select("row_id", "doc_id", "rank", "i", "start", "stop", "good", F.explode(F.array(F.lit(True), F.lit(False))).alias("at_start")).withColumn("at", F.when(F.col("at_start"), F.col("start")).otherwise(F.col("stop")))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -117,22 +139,18 @@ def _oracle() -> str:
         f"FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d)"
         for k, p in enumerate(quoted)
     )
-    ranks = {role: ", ".join(str(k) for k, x in enumerate(KINDS) if x[2] == role) for role in ("identifier", "secret")}
+    of = lambda role: ", ".join(str(k) for k, x in enumerate(KINDS) if x[2] == role)
     name = "[" + ", ".join(f"'{x[0]}'" for x in KINDS) + "]"
+    apart = f"a.doc_id = b.doc_id AND (b.start >= a.stop AND b.start - a.stop <= {SCOPE} OR b.stop <= a.start AND a.start - b.stop <= {SCOPE})"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 p AS ({kinds}),
 q AS (SELECT *, sum(gap + width) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM p),
-r AS (SELECT doc_id, rank, stop - width AS start, stop, rank < 3 AS strong FROM q WHERE good),
-s AS (SELECT *,
-  max(CASE WHEN strong THEN stop END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l,
-  min(CASE WHEN strong THEN start END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {SCOPE} FOLLOWING) AS n,
-  max(CASE WHEN rank IN ({ranks["identifier"]}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING) AS ni,
-  max(CASE WHEN rank IN ({ranks["secret"]}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING) AS ns
-  FROM r),
-k AS (SELECT doc_id, rank, start, ({name}[rank + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT)) AS label FROM s
-  WHERE strong OR (NOT coalesce(l > start, false) AND NOT coalesce(n < stop, false)
-    AND CASE WHEN rank IN ({ranks["identifier"]}) THEN ns = 1 WHEN rank IN ({ranks["secret"]}) THEN ni = 1 ELSE ni = 1 AND ns = 1 END))
+r AS (SELECT doc_id, rank, CAST(stop - width AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM q WHERE good),
+v AS (SELECT * FROM r a WHERE rank < 3 OR NOT EXISTS (FROM r b WHERE a.doc_id = b.doc_id AND b.start < a.stop AND b.stop > a.start AND (b.rank < 3 OR a.rank = 4 AND b.rank = 5))),
+s AS (SELECT a.*, EXISTS (FROM v b WHERE {apart} AND b.rank IN ({of("identifier")})) AS ni, EXISTS (FROM v b WHERE {apart} AND b.rank IN ({of("secret")})) AS ns FROM v a),
+k AS (SELECT doc_id, rank, start, ({name}[rank + 1] || ':' || start || ':' || stop) AS label FROM s
+  WHERE rank < 3 OR CASE WHEN rank IN ({of("identifier")}) THEN ns WHEN rank IN ({of("secret")}) THEN ni ELSE ni AND ns END)
 SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   sha256(coalesce(string_agg(label, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
   coalesce(string_agg(label, ',' ORDER BY start, rank) FILTER (rank IS NOT NULL), '') AS spans
