@@ -76,6 +76,32 @@ def test_dense_groups_give_forests_not_pairs():
     assert len(a) < len(codes)
 
 
+def test_the_descent_settles_the_links_of_documents(spark):
+    """On the groups that documents form under pigeonhole keys, node pairs go down, few leaves meet, and the links are those of brute force."""
+    texts = [r.text for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("text").collect()]
+    codes = np.unique(np.array([simhash.fingerprint((t or "").encode()) for t in texts], np.uint64))
+    links, walked, met, pairs = [], 0, 0, 0
+    for mask in simhash._key_masks(len(codes), 4):
+        keys = codes & np.uint64(mask)
+        order = np.lexsort((codes, keys))
+        sizes = np.unique(keys, return_counts=True)[1]
+        forest = simhash.Forest(len(codes))
+        w, m = simhash.descend(codes[order], np.concatenate([[0], np.cumsum(sizes)]), 4, forest)
+        walked, met, pairs = walked + w, met + m, pairs + int((sizes * (sizes - 1) // 2).sum())
+        roots = forest.roots()
+        links.append((codes[order], codes[order][roots]))
+    assert walked > (sizes > 1).sum() > 0 and 0 < met < pairs
+    assert united(codes, links) == classes(codes)
+
+
+def test_tasks_let_go_of_whole_groups(spark, monkeypatch):
+    fps = spark.createDataFrame([(simhash._signed(int(x)),) for x in clusters(3)], "fp long")
+    expected = {tuple(r) for r in simhash.components(simhash.near_links(fps)).collect()}
+    monkeypatch.setattr(simhash, "HELD", 7)
+    monkeypatch.setattr(simhash, "MAX_GROUP", 10)
+    assert {tuple(r) for r in simhash.components(simhash.near_links(fps, max_group=10)).collect()} == expected
+
+
 def test_masks_cover_by_pigeonhole():
     for count in (10, 10**8, 10**10, 10**12):
         parts, chosen = simhash.segments(count, 4)

@@ -11,8 +11,9 @@ and smaller groups; their number follows from the number of fingerprints, and
 any number gives the same links.
 
 Under a root, node pairs of the trie go down together, one bit a level. Each
-carries the differing bits so far and stops when these exceed the budget. Pairs
-of few leaves are settled by comparing them. Pairs whose leaves are known to be
+carries the differing bits so far and stops when these exceed the budget. Tries
+are path-compressed: a pair of single leaves compares what is left of their paths
+at once. Pairs whose leaves are known to be
 in one component are pruned too: first comes a descent with a budget of one bit,
 whose components then spare the full descent most of a dense group. What a task
 hands on is a spanning forest, at most one link less than it has fingerprints,
@@ -38,8 +39,8 @@ SHINGLE = 4
 SEED = 42
 #: Leaves that a group may have before it is cut into blocks.
 MAX_GROUP = 20_000
-#: Leaf pairs under a node pair that are compared directly.
-DIRECT = 256
+#: Rows that a task holds before it links the groups that it has whole.
+HELD = 200_000
 #: Node pairs or leaf pairs that are worked on at a time.
 BLOCK = 1 << 21
 
@@ -104,8 +105,8 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def descend(codes: np.ndarray, roots: np.ndarray, max_bits: int, forest: Forest, prune: bool = False) -> None:
-    """Link all codes that lie under one root and differ in max_bits bits or fewer.
+def descend(codes: np.ndarray, roots: np.ndarray, max_bits: int, forest: Forest, prune: bool = False) -> tuple[int, int]:
+    """Link all codes that lie under one root and differ in max_bits bits or fewer. Returns how many node pairs went down and how many single leaves met.
 
     codes: unsigned, sorted within each root; roots: the bounds of the roots' runs;
     with prune, nodes whose leaves share a component of forest are not paired.
@@ -114,8 +115,9 @@ def descend(codes: np.ndarray, roots: np.ndarray, max_bits: int, forest: Forest,
     lo, hi = roots[:-1].astype(np.int64), roots[1:].astype(np.int64)
     some = hi - lo > 1
     lo, hi = lo[some], hi[some]
+    walked = met = 0
     if not len(lo) or not n_roots:
-        return
+        return walked, met
     label = forest.roots().copy() if prune else None
     if prune:
         change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
@@ -136,12 +138,16 @@ def descend(codes: np.ndarray, roots: np.ndarray, max_bits: int, forest: Forest,
         if not len(alo):
             continue
         weight = (ahi - alo) * (bhi - blo)
-        direct = (weight <= DIRECT) | (level == 64)
-        if direct.any():
-            _compare(codes, *(x[direct] for x in (alo, ahi, blo, bhi)), max_bits, forest)
-            alo, ahi, blo, bhi, diff = (x[~direct] for x in (alo, ahi, blo, bhi, diff))
+        single = weight == 1
+        if single.any():
+            a, b = alo[single], blo[single]
+            met += len(a)
+            near = _popcount(codes[a] ^ codes[b]) <= max_bits
+            forest.link(a[near], b[near])
+            alo, ahi, blo, bhi, diff = (x[~single] for x in (alo, ahi, blo, bhi, diff))
             if not len(alo):
                 continue
+        walked += len(alo)
         # Where each node's leaves turn from 0 to 1 at this level.
         np.cumsum((codes >> np.uint64(63 - level)) & np.uint64(1) == 0, out=zeros_before[1:])
         amid = alo + zeros_before[ahi] - zeros_before[alo]
@@ -154,24 +160,7 @@ def descend(codes: np.ndarray, roots: np.ndarray, max_bits: int, forest: Forest,
                 live &= ~same  # a node paired with itself: its halves meet once
             below.append((p[live], q[live], r[live], s[live], diff[live] + more))
         stack.append((*map(np.concatenate, zip(*below)), level + 1))
-
-
-def _compare(codes, alo, ahi, blo, bhi, max_bits, forest) -> None:
-    """Compare all leaves of each node pair."""
-    weight = (ahi - alo) * (bhi - blo)
-    ends = np.cumsum(weight)
-    first = 0
-    while first < len(weight):
-        base = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
-        w = weight[first:last]
-        pair = np.repeat(np.arange(first, last), w)
-        k = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        width = (bhi - blo)[pair]
-        a, b = alo[pair] + k // width, blo[pair] + k % width
-        near = (a < b) & (_popcount(codes[a] ^ codes[b]) <= max_bits)
-        forest.link(a[near], b[near])
-        first = last
+    return walked, met
 
 
 def links_within(codes: np.ndarray, keys: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,21 +221,31 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS, max_group: int = MAX_GR
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("own")) * F.col("blocks") + F.greatest(k, F.col("own")))
         tasks = marked.withColumn("own", own).select("fp", "part", "key", F.explode(pairs).alias("block"))
 
+    limit = HELD
+
     def run(batches):
         import pyarrow as pa
 
-        fp, task = [], []
+        def linked(fp, task):
+            a, b = links_within(fp, task, max_bits)
+            for at in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a[at : at + 100_000].view(np.int64)), "b": pa.array(b[at : at + 100_000].view(np.int64))})
+
+        fps_, tasks_, held = [], [], 0
         for batch in batches:
-            fp.append(batch.column("fp").to_numpy().view(np.uint64))
-            task.append(batch.column("task").to_numpy())
-        if not fp:
-            return
-        a, b = links_within(np.concatenate(fp), np.concatenate(task), max_bits)
-        for at in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a[at : at + 100_000].view(np.int64)), "b": pa.array(b[at : at + 100_000].view(np.int64))})
+            fps_.append(batch.column("fp").to_numpy().view(np.uint64))
+            tasks_.append(batch.column("task").to_numpy())
+            held += batch.num_rows
+            if held >= limit:  # rows come sorted by task: all groups but the last one are whole
+                fp, task = np.concatenate(fps_), np.concatenate(tasks_)
+                whole = int(np.searchsorted(task, task[-1]))
+                yield from linked(fp[:whole], task[:whole])
+                fps_, tasks_, held = [fp[whole:]], [task[whole:]], 0
+        if fps_:
+            yield from linked(np.concatenate(fps_), np.concatenate(tasks_))
 
     keyed = tasks.select("fp", F.xxhash64("part", "key", "block").alias("task"))
-    return keyed.repartition("task").mapInArrow(run, "a long, b long")
+    return keyed.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -275,7 +274,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id, n_links): component_id is the least doc_id reachable over links, the document's own included.
+    """(doc_id, fp, component_id): component_id is the least doc_id reachable over links, the document's own included.
 
     Null and empty texts have fingerprint zero and link like others;
     rows of equal doc_id keep a row each; a null doc_id is never a component id
@@ -300,6 +299,7 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) ->
 
     Of rows that repeat that doc_id one stays: the one with the least text hash.
     Components that share an id keep one row together; keep_each keeps one each.
+    Null and empty texts are alike; an empty table gives an empty result.
     """
     marked = materialize(with_fingerprints(docs, width=width), "simhash-fp")
     chosen = marked.join(_classes(marked, max_bits), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
@@ -319,7 +319,8 @@ def keep_each(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -
 
     A component's row does not depend on what other components' ids are: texts
     that share a doc_id, or have none, each stand for their own. Null ids come
-    last. Of rows equal in id and text any one stays.
+    last. Of rows equal in id and text any one stays. Null and empty texts are alike;
+    an empty table gives an empty result.
     """
     marked = materialize(with_fingerprints(docs, width=width), "simhash-fp")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")
