@@ -44,7 +44,7 @@ def shard(tmp_path, texts, items, blocks=1, window=8):
     for k in range(blocks):
         paths.append(str(tmp_path / f"block-{random.random()}"))
         with open(paths[-1], "wb") as f:
-            pickle.dump([(n, (t or "").encode()) for n, t in items[k::blocks]], f)
+            pickle.dump(decontam.phrases([(n, (t or "").encode()) for n, t in items[k::blocks]], window), f)
     found = decontam.scan_shard([(t or "").encode() for t in texts], paths, window)
     return [(n, [p for a, b in s for p in range(a, b)], i) for n, s, i in zip(found.n_words, found.spans, found.items)]
 
@@ -84,6 +84,36 @@ def test_shards_equal_brute_force(tmp_path, seed):
         assert shard(tmp_path, texts, items, blocks) == brute(texts, items)
 
 
+def test_long_texts_are_indexed_in_pieces(tmp_path, monkeypatch):
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choice("abcd") for _ in range(n))
+    texts, items = [text(300), "", text(40), None, text(90)], [(str(k), text(r.randint(2, 12))) for k in range(30)]
+    whole = shard(tmp_path, texts, items)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(decontam, "SHARD_WORDS", size)
+        assert shard(tmp_path, texts, items, blocks=3) == whole == brute(texts, items)
+
+
+def test_index_is_over_the_shards_own_words():
+    codes, sizes, vocabulary = decontam.coded([b"One two, one", b"", b"TWO.three"])
+    assert codes.tolist() == [1, 2, 1, 0, 0, 2, 3, 0] and sizes.tolist() == [3, 0, 2] and vocabulary == {b"one": 1, b"two": 2, b"three": 3}
+
+
+def test_blocks_kept_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(decontam, "KEPT_WORDS", 30)
+    items = [(str(k), " ".join(f"w{k + j}" for j in range(9))) for k in range(12)]
+    assert shard(tmp_path, ["w1 w2 w3 w4 w5 w6 w7 w8 w9"], items, blocks=4) == brute(["w1 w2 w3 w4 w5 w6 w7 w8 w9"], items)
+    assert sum(b.size for b in decontam._loaded.values()) <= 60
+
+
+def test_n_chars_of_any_type(spark):
+    items = benchmark(spark)
+    for column in (F.lit("five"), F.lit(5).cast("int"), F.lit(5.5), F.lit(None).cast("long")):
+        docs = documents(spark).withColumn("n_chars", column)
+        kept = decontam.clean(docs, items, least_items=4)
+        assert kept.schema == docs.schema and kept.count() == docs.count()
+
+
 def test_tables(spark):
     docs, items = documents(spark), benchmark(spark)
     rows = docs.collect()

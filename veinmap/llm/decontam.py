@@ -1,18 +1,19 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a run of whole documents of about SHARD_BYTES. Its text is the
-sequence of word codes over the phrases' vocabulary: words that no phrase has
-become separators, and stretches too short for the shortest phrase are left out,
-which loses nothing since a phrase cannot lie there. Over the rest stand a
-suffix array (prefix doubling), its Burrows-Wheeler transform and a wavelet
-tree. All phrases are searched backwards at once through wavelet ranks; the
-occurrences of those found are located by walking the last-to-first mapping to
-sampled suffix positions; overlapping occurrences merge into removal spans.
+A shard is a run of whole documents of about SHARD_BYTES; a longer text is cut
+into pieces that overlap by a window less one word. A shard's text is the sequence
+of its words' codes, over the shard's own vocabulary, with separators between
+documents. Over it stand a suffix array (prefix doubling, each step on what is
+still undecided), its Burrows-Wheeler transform and a wavelet tree. The index is
+built once and knows nothing of the benchmark. All phrases are then searched
+backwards at once through wavelet ranks; the occurrences of those found are
+located by walking the last-to-first mapping to sampled suffix positions;
+overlapping occurrences merge into removal spans.
 
 Phrases are windows of WINDOW consecutive words of a benchmark item, or a whole
 shorter item. The benchmark is a query set of its own: it goes to the workers as
-files of at most BLOCK_ITEMS items in the shared folder, and every shard meets
-every block, so no size of the benchmark has to fit into memory.
+files of at most BLOCK_ITEMS items in the shared folder, and every shard's index
+meets every block, so no size of the benchmark has to fit into memory.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_chunks
+from .common import scratch, small_batches, text_chunks
 from .files import filesystem, new_file
 
 WINDOW = 8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+#: Words that one index holds at most.
+SHARD_WORDS = 400_000
 BLOCK_ITEMS = 20_000
+#: Window words of the blocks that a worker keeps between shards.
+KEPT_WORDS = 8_000_000
 #: Every so many text positions one suffix array entry is kept.
 SAMPLE = 4
 #: Bytes to bytes: upper case to lower case, and what stands between words to a space. Words are made of digits, a to z and all that is not ASCII.
@@ -65,22 +70,34 @@ class WaveletTree:
         return upto - start
 
 
+def _ranked(order: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per place in order: the place where its run of equal keys starts, and whether the run has more than one."""
+    if not len(order):
+        return order, np.zeros(0, bool)
+    sorted_ = key[order]
+    first = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    alone = first & np.concatenate([first[1:], [True]])
+    return np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)), ~alone
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling: ranks of the first 1, 2, 4, ... symbols until all differ."""
+    """By prefix doubling: places of the first 1, 2, 4, ... symbols, in which only suffixes that share a place are sorted again."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    sorted_ = text[order]
+    order = np.argsort(text)
+    start, tied = _ranked(order, text)
     rank = np.empty(n, np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+    rank[order] = start
+    places = np.flatnonzero(tied)
     step = 1
-    while n and rank[order[-1]] < n - 1:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+    while len(places):
+        some = order[places]
+        second = np.where(some + step < n, rank[np.minimum(some + step, n - 1)] + 1, 0)
+        key = rank[some] * (n + 1) + second
+        by = np.argsort(key)
+        order[places] = some[by]
+        start, tied = _ranked(by, key)
+        rank[some[by]] = places[start]
+        places = places[tied]
         step *= 2
     return order
 
@@ -130,87 +147,87 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """A block of benchmark items: the vocabulary, distinct windows by length, and the items that each window is in."""
+    """A block of benchmark items: its words, distinct windows by length as rows of word numbers, and the items that each window is in (of window k those from bounds[k] on)."""
 
-    codes: dict[bytes, int]
+    words: list[bytes]
     windows: list[np.ndarray]
-    items_of: list[list[np.ndarray]]
+    bounds: list[np.ndarray]
+    items_of: list[np.ndarray]
     items: list[str]
-    shortest: int
+
+    @property
+    def size(self) -> int:
+        return sum(w.size for w in self.windows)
 
 
 def phrases(items: list[tuple[str, bytes]], window: int = WINDOW) -> Phrases:
-    codes: dict[bytes, int] = {}
+    numbers: dict[bytes, int] = {}
     names: dict[str, int] = {}
     by_length: dict[int, dict[tuple, set[int]]] = {}
     for name, text in items:
-        words = [codes.setdefault(w, len(codes) + 1) for w in words_of(text)]
+        words = [numbers.setdefault(w, len(numbers)) for w in words_of(text)]
         if words:
             item, m = names.setdefault(name, len(names)), min(window, len(words))
             for k in range(len(words) - m + 1):
                 by_length.setdefault(m, {}).setdefault(tuple(words[k : k + m]), set()).add(item)
-    windows = [np.array(list(x), np.int64) for x in by_length.values()]
-    return Phrases(codes, windows, [[np.array(sorted(s)) for s in x.values()] for x in by_length.values()], list(names), min(by_length, default=0))
-
-
-def search_shard(codes: np.ndarray, block: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hit mask over codes, position and item of occurrences): where the block's windows occur; code 0 separates."""
-    hit = np.zeros(len(codes), bool)
-    none = np.empty(0, np.int64)
-    inside = np.concatenate([[0], codes > 0, [0]]).astype(np.int8)
-    edges = np.diff(inside)
-    starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    long_ = stops - starts >= block.shortest
-    starts, stops = starts[long_], stops[long_]
-    if not block.windows or not len(starts):
-        return hit, none, none
-    sizes = stops - starts + 1  # with a separator each
-    origin = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-    text = codes[np.minimum(origin, len(codes) - 1)]
-    text[np.cumsum(sizes) - 1] = 0
-    index = FMIndex(text, len(block.codes))
-    change = np.zeros(len(codes) + 1, np.int64)
-    at_all, item_all = [none], [none]
-    for windows, items_of in zip(block.windows, block.items_of):
-        low, high = index.search(windows)
-        found = np.flatnonzero(high > low)
-        n = high[found] - low[found]
-        which = np.repeat(found, n)
-        rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)
-        at = origin[index.locate(rows)]
-        np.add.at(change, at, 1)
-        np.add.at(change, at + windows.shape[1], -1)
-        count = np.array([len(items_of[k]) for k in found], np.int64)
-        per = np.repeat(count, n)
-        at_all.append(np.repeat(at, per))
-        item_all.append(np.concatenate([none, *(np.tile(items_of[k], m) for k, m in zip(found.tolist(), n.tolist()))]))
-    return np.cumsum(change[:-1]) > 0, np.concatenate(at_all), np.concatenate(item_all)
-
-
-def write_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> list[str]:
-    """Files of items in the shared folder; the driver holds one block at a time."""
+    found = list(by_length.values())
+    return Phrases(
+        list(numbers),
+        [np.array(list(x), np.int32) for x in found],
+        [np.cumsum([0, *map(len, x.values())]) for x in found],
+        [np.array([i for s in x.values() for i in sorted(s)], np.int64) for x in found],
+        list(names),
+    )
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each pair: n numbers."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def occurrences(index: FMIndex, vocabulary: dict[bytes, int], block: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, words, item) of all occurrences of a block's windows in an index over codes from 1 up."""
+    codes = np.array([vocabulary.get(w, 0) for w in block.words], np.int64)
+    out = [(np.empty(0, np.int64),) * 3]
+    for windows, bounds, items_of in zip(block.windows, block.bounds, block.items_of):
+        coded = codes[windows]
+        known = np.flatnonzero((coded > 0).all(axis=1))
+        low, high = index.search(coded[known])
+        some = high > low
+        found, low, n = known[some], low[some], (high - low)[some]
+        at = index.locate(_spread(low, n))
+        window = np.repeat(found, n)
+        per = bounds[window + 1] - bounds[window]
+        out.append((np.repeat(at, per), np.full(int(per.sum()), windows.shape[1]), items_of[_spread(bounds[window], per)]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def write_blocks(benchmark: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS) -> list[str]:
+    """Files of items' windows in the shared folder; the driver holds one block at a time."""
     folder = scratch(benchmark.sparkSession, "phrases")
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text")).toLocalIterator()
     paths = []
     while block := list(itertools.islice(rows, block_items)):
         paths.append(f"{folder}/block-{len(paths):05d}")
         with new_file(paths[-1]) as out:
-            out.write(pickle.dumps([(r.item_id, bytes(r.text or b"")) for r in block]))
+            out.write(pickle.dumps(phrases([(r.item_id, bytes(r.text or b"")) for r in block], window)))
     return paths
 
 
-_loaded: dict[tuple, Phrases] = {}
+_loaded: dict[str, Phrases] = {}
 
 
-def _load(path: str, window: int) -> Phrases:
-    """The block of a file; the last one used is kept."""
-    if (path, window) not in _loaded:
+def _load(path: str) -> Phrases:
+    """The block of a file; those used last are kept as long as they are small together."""
+    block = _loaded.pop(path, None)
+    if block is None:
         fs, at = filesystem(path)
         with fs.open_input_stream(at, compression=None) as f:
-            items = pickle.loads(f.read())
-        _loaded.clear()
-        _loaded[path, window] = phrases(items, window)
-    return _loaded[path, window]
+            block = pickle.loads(f.read())
+        while _loaded and block.size + sum(x.size for x in _loaded.values()) > KEPT_WORDS:
+            _loaded.pop(next(iter(_loaded)))
+    _loaded[path] = block
+    return block
 
 
 @dataclass
@@ -223,20 +240,38 @@ class Found:
     spans: list[list[tuple[int, int]]]
 
 
+def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """(codes of all words with a zero after each text, words per text, the code of each word from 1 up)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spaced = pa.array([b"".join((t.translate(BETWEEN_WORDS), b" .")) for t in texts], pa.large_binary()).view(pa.large_string())  # no word has a stop: it ends the text
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
+    flat = lists.flatten().dictionary_encode()
+    words = flat.dictionary.cast(pa.large_binary()).to_pylist()
+    numbers = np.zeros(len(words), np.int64)
+    is_word = np.array([w != b"." for w in words], bool)
+    numbers[is_word] = np.arange(1, int(is_word.sum()) + 1)
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64) - 1
+    return numbers[flat.indices.to_numpy()] if len(words) else np.empty(0, np.int64), sizes, {w: int(k) for w, k in zip(words, numbers) if k}
+
+
 def scan_shard(texts: list[bytes], paths: list[str], window: int) -> Found:
-    split = [words_of(t) for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    firsts = np.cumsum(sizes + 1) - sizes - 1  # a separator after each document
-    hit = np.zeros(int(sizes.sum()) + len(sizes), bool)
+    codes, sizes, vocabulary = coded(texts)
+    firsts = np.cumsum(sizes + 1) - sizes - 1
+    change = np.zeros(len(codes) + 1, np.int64)
     items: list[set[str]] = [set() for _ in texts]
-    for path in paths:
-        block = _load(path, window)
-        codes = np.fromiter(itertools.chain.from_iterable(itertools.chain(map(block.codes.get, ws, itertools.repeat(0)), (0,)) for ws in split), np.int64, len(hit))
-        mask, at, item = search_shard(codes, block)
-        hit |= mask
-        doc = np.searchsorted(firsts, at, side="right") - 1
-        for pair in np.unique(doc * max(1, len(block.items)) + item).tolist():
-            items[pair // len(block.items)].add(block.items[pair % len(block.items)])
+    for start in range(0, len(codes), SHARD_WORDS) if paths else ():
+        index = FMIndex(codes[start : start + SHARD_WORDS + window - 1], len(vocabulary))
+        for path in paths:
+            block = _load(path)
+            at, n, item = occurrences(index, vocabulary, block)
+            np.add.at(change, start + at, 1)
+            np.add.at(change, start + at + n, -1)
+            doc = np.searchsorted(firsts, start + at, side="right") - 1
+            for pair in np.unique(doc * max(1, len(block.items)) + item).tolist():
+                items[pair // len(block.items)].add(block.items[pair % len(block.items)])
+    hit = np.cumsum(change[:-1]) > 0
     edges = np.diff(np.concatenate([[0], hit, [0]]).astype(np.int8))
     starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     doc = np.searchsorted(firsts, starts, side="right") - 1
@@ -257,7 +292,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_item
     item, null ids count as the empty name; without items all documents are
     clean. Other columns are not read.
     """
-    paths = write_blocks(benchmark)
+    small_batches(docs.sparkSession)
+    paths = write_blocks(benchmark, window)
 
     def run(batches):
         import pyarrow as pa
@@ -295,10 +331,14 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_items: int = LEAST_ITEMS) -> DataFrame:
     """The rows of docs that are not contaminated, removal spans cut from their texts, with all their columns.
 
-    A column n_chars follows the text where that changes. Documents without an
-    occurrence come back as they are.
+    A column n_chars of whole numbers follows the text where that changes; of any
+    other type it is left alone. Documents without an occurrence, null and empty
+    texts among them, come back as they are; rows of equal or null doc_id are each
+    cleaned for itself; an empty table gives an empty result, and an empty
+    benchmark changes nothing.
     """
-    paths = write_blocks(benchmark)
+    small_batches(docs.sparkSession)
+    paths = write_blocks(benchmark, window)
 
     def run(batches):
         import pyarrow as pa
@@ -317,7 +357,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_ite
                 for k, text in changed.items():
                     texts[k] = text
                 batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).view(batch.schema.field("text").type))
-                if (k := batch.schema.get_field_index("n_chars")) >= 0:
+                if (k := batch.schema.get_field_index("n_chars")) >= 0 and pa.types.is_integer(batch.schema.field(k).type):
                     sizes = batch.column(k).to_pylist()
                     for row, text in changed.items():
                         sizes[row] = len(text.decode("utf-8", "replace"))
