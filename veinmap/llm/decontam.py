@@ -53,10 +53,13 @@ class WaveletTree:
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.ones, self.zeros = bits, [], []
+        symbols = symbols.astype(np.int32)
         for level in range(bits - 1, -1, -1):
-            bit = (symbols >> level & 1).astype(bool)
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            self.zeros.append(len(symbols) - int(self.ones[-1][-1]))
+            bit = (symbols & np.int32(1 << level)) != 0
+            ones = np.zeros(len(symbols) + 1, np.int32)
+            np.cumsum(bit, out=ones[1:], dtype=np.int32)
+            self.ones.append(ones)
+            self.zeros.append(len(symbols) - int(ones[-1]))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
 
     def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -185,9 +188,14 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-def occurrences(index: FMIndex, vocabulary: dict[bytes, int], block: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, words, item) of all occurrences of a block's windows in an index over codes from 1 up."""
-    codes = np.array([vocabulary.get(w, 0) for w in block.words], np.int64)
+def occurrences(index: FMIndex, vocabulary, block: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, words, item) of all occurrences of a block's windows in an index over codes; the word of code k is at k in vocabulary, an Arrow array."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    at = pc.fill_null(pc.index_in(vocabulary, value_set=pa.array(block.words, pa.large_binary()).view(pa.large_string())), -1).to_numpy()
+    codes = np.zeros(len(block.words), np.int64)
+    codes[at[at >= 0]] = np.flatnonzero(at >= 0)
     out = [(np.empty(0, np.int64),) * 3]
     for windows, bounds, items_of in zip(block.windows, block.bounds, block.items_of):
         coded = codes[windows]
@@ -240,20 +248,16 @@ class Found:
     spans: list[list[tuple[int, int]]]
 
 
-def coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-    """(codes of all words with a zero after each text, words per text, the code of each word from 1 up)."""
+def coded(texts: list[bytes]):
+    """(codes of all words with a zero after each text, words per text, an Arrow array that has the word of each code; at 0 it has no word)."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    spaced = pa.array([b"".join((t.translate(BETWEEN_WORDS), b" .")) for t in texts], pa.large_binary()).view(pa.large_string())  # no word has a stop: it ends the text
+    # No word has a stop: one opens the vocabulary, and one ends each text.
+    spaced = pa.array([b".", *(b"".join((t.translate(BETWEEN_WORDS), b" .")) for t in texts)], pa.large_binary()).view(pa.large_string())
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(spaced))
     flat = lists.flatten().dictionary_encode()
-    words = flat.dictionary.cast(pa.large_binary()).to_pylist()
-    numbers = np.zeros(len(words), np.int64)
-    is_word = np.array([w != b"." for w in words], bool)
-    numbers[is_word] = np.arange(1, int(is_word.sum()) + 1)
-    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64) - 1
-    return numbers[flat.indices.to_numpy()] if len(words) else np.empty(0, np.int64), sizes, {w: int(k) for w, k in zip(words, numbers) if k}
+    return flat.indices.to_numpy()[1:].astype(np.int64), pc.list_value_length(lists).to_numpy()[1:].astype(np.int64) - 1, flat.dictionary
 
 
 def scan_shard(texts: list[bytes], paths: list[str], window: int) -> Found:
