@@ -11,6 +11,9 @@ then what its slots hold, less what its marks say is not the article: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
 Where a page marks its article, the content is that element, less the constant
 texts in there, unless these are over half of it: then near copies repeat it.
+
+Pages are read three times, for layouts, for counts and for texts, and are not
+shuffled: wrappers reach the workers as files (see shelves).
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_chunks
+from .common import materialize, small_batches, text_chunks
 from .dom import BLOCK, RAW, VOID, Element, parse
+from .shelves import KEPT, Shelf, put_on_shelf
 
 #: Elements that are no part of an article.
 OUTSIDE = frozenset("nav footer aside form script style noscript template head iframe svg math button select option input textarea dialog menu object embed canvas audio video map".split())
@@ -262,14 +266,6 @@ def _decoded(texts: list[bytes]) -> list[Element]:
     return [parse(t.decode("utf-8", "replace")) for t in texts]
 
 
-def _pack(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        for first, last, texts in text_chunks(batch, "html"):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, last - first) for c in ("host", "layout")), pa.array([packed(fold(body_of(r))) for r in _decoded(texts)])], ["host", "layout", "wrapper"])
-
-
 def layout_of(page: Fold) -> int:
     """A number that pages of equal layout share: the labels down to the first node with several children, and theirs. Zero if there is nothing."""
     if not page.children and not page.text:
@@ -281,76 +277,129 @@ def layout_of(page: Fold) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest("\n".join([*path, "", *_shape(page)]).encode())).astype(np.int64)) or 1
 
 
-def _lay(batches):
+SURVEY = "host string, layout long, page long, wrapper string"
+#: Bytes of wrappers that a task gathers before it hands them on.
+GATHERED = 16 << 20
+
+
+def _survey(batches):
+    """(host, layout, page) of each page, and for each layout that a task meets the wrapper of its page with the least number."""
     import pyarrow as pa
 
+    best: dict[tuple[str, int], tuple[int, str]] = {}
+    held = 0
+
+    def out(hosts, layouts, pages, wrappers):
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(layouts, pa.int64()), pa.array(pages, pa.int64()), pa.array(wrappers, pa.string())], ["host", "layout", "page", "wrapper"])
+
+    def gathered():
+        found = out([h for h, _ in best], [x for _, x in best], [p for p, _ in best.values()], [w for _, w in best.values()])
+        best.clear()
+        return found
+
     for batch in batches:
+        hosts, pages = batch.column("host").to_pylist(), batch.column("page").to_pylist()
         for first, last, texts in text_chunks(batch, "html"):
-            rows = batch.slice(first, last - first)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([layout_of(fold(body_of(r))) for r in _decoded(texts)], pa.int64())], [*rows.schema.names, "layout"])
+            layouts = []
+            for k, root in enumerate(_decoded(texts), first):
+                tree = fold(body_of(root))
+                layouts.append(layout_of(tree))
+                key = hosts[k], layouts[-1]
+                if key not in best or pages[k] < best[key][0]:
+                    best[key] = pages[k], packed(tree)
+                    held += len(best[key][1])
+            yield out(hosts[first:last], layouts, pages[first:last], [None] * len(layouts))
+            if held > GATHERED:
+                yield gathered()
+                held = 0
+    if best:
+        yield gathered()
+
+
+class Wrappers:
+    """A worker's view of shelved wrappers; those unpacked last are kept."""
+
+    def __init__(self, shelf: Shelf):
+        self.shelf, self.unpacked_, self.hosts = shelf, {}, {}
+
+    def find(self, bucket: int, host: str, page: Fold):
+        """(layout of the wrapper, its nodes, its constant texts) for a page of a host; None where the host has none."""
+        if (rows := self.shelf.rows(bucket)) is not self.hosts.get(bucket, (None,))[0]:
+            by_host: dict[str, tuple[dict[int, int], int]] = {}
+            for k, (h, layout, main, _, _) in enumerate(rows):
+                layouts = by_host.setdefault(h, ({}, []))
+                layouts[0][layout] = k
+                if main:
+                    layouts[1].append(k)
+            self.hosts = {b: x for b, x in self.hosts.items() if self.shelf.holds(b)} | {bucket: (rows, by_host)}
+        found = self.hosts[bucket][1].get(host)
+        if found is None:
+            return None
+        k = found[0].get(layout_of(page), found[1][0])
+        key = bucket, k
+        if key not in self.unpacked_:
+            if len(self.unpacked_) >= 500:
+                self.unpacked_.clear()
+            _, layout, _, wrapper, constant = rows[k]
+            self.unpacked_[key] = layout, unpacked(wrapper), frozenset((c["node"], c["digest"] % (1 << 64)) for c in constant or ())
+        return self.unpacked_[key]
+
+
+COUNTED = "host string, layout long, page long, node array<int>, digest array<long>"
+
+
+def _count(shelf: Shelf):
+    """Per page, the texts that stand in wrapper nodes, each node also with digest zero."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def with_layout(pages: DataFrame) -> DataFrame:
-    """pages (with a binary html) and the layout of each."""
-    return pages.mapInArrow(_lay, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema) + ", layout long")
+        wrappers = Wrappers(shelf)
+        for batch in batches:
+            hosts, buckets, pages = (batch.column(c).to_pylist() for c in ("host", "bucket", "page"))
+            for first, _, texts in text_chunks(batch, "html"):
+                found = []
+                for k, root in enumerate(_decoded(texts), first):
+                    tree = fold(body_of(root))
+                    layout, wrapper, _ = wrappers.find(buckets[k], hosts[k], tree)
+                    pairs = [(node, d) for node, at in match(wrapper, tree).items() if not at.children and any(at.texts) for d in sorted({0, *at.texts})]
+                    found.append((hosts[k], layout, pages[k], [n for n, _ in pairs], np.array([d for _, d in pairs], np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())))], ["host", "layout", "page", "node", "digest"])
 
+    return run
 
-def _count(batches):
-    """Per task and wrapper node: how many distinct pages have each text in it (same); the row of digest zero counts all pages that align with text (aligned)."""
-    import pyarrow as pa
 
-    sums: dict[tuple[tuple[str, int], int, int], int] = {}
-    wrappers: dict[tuple[str, int], list] = {}
+def _near(pages: DataFrame, shelf: Shelf) -> DataFrame:
+    """Pages with the bucket of their host's wrappers; where a worker can't keep all buckets, pages of one bucket come together, however many tasks they take."""
+    marked = pages.withColumn("bucket", shelf.bucket(F.col("host")))
+    return marked if shelf.size <= KEPT else marked.repartitionByRange("bucket", "page")
 
-    def out():
-        keys = list(sums)
-        return pa.RecordBatch.from_pydict({"host": pa.array([h for (h, _), _, _ in keys]), "layout": pa.array([x for (_, x), _, _ in keys], pa.int64()), "node": pa.array([n for _, n, _ in keys], pa.int32()), "digest": pa.array(np.array([d for _, _, d in keys], np.uint64).view(np.int64)), "n": pa.array([sums[k] for k in keys], pa.int64())})
 
-    for batch in batches:
-        hosts, packs = list(zip(batch.column("host").to_pylist(), batch.column("w_layout").to_pylist())), batch.column("wrapper").to_pylist()
-        for first, _, texts in text_chunks(batch, "html"):
-            for k, root in enumerate(_decoded(texts)):
-                host = hosts[first + k]
-                if host not in wrappers:
-                    if len(wrappers) > 1000:
-                        wrappers.clear()
-                    wrappers[host] = unpacked(packs[first + k])
-                wrapper = wrappers[host]
-                for node, at in match(wrapper, fold(body_of(root))).items():
-                    if not at.children and any(at.texts):
-                        for digest in {0, *at.texts}:
-                            sums[host, node, digest] = sums.get((host, node, digest), 0) + 1
-            if len(sums) > 100_000:
-                yield out()
-                sums.clear()
-    if sums:
-        yield out()
-
-
-def induce(pages: DataFrame) -> DataFrame:
-    """(w_host, p_layout, w_layout, wrapper, constant): for each layout of a host its wrapper and the constant nodes, from all distinct pages.
-
-    pages: host, layout, html (binary), page (a number that equal pages share). A
-    wrapper's tree is that of its layout's page with the least number. Layouts of
-    fewer than LEAST_PAGES pages share the wrapper of the host's main layout.
+def induce(pages: DataFrame) -> Shelf:
+    """The wrappers of all hosts on a shelf: rows (host, layout, main, wrapper, constant), from all distinct pages.
+
+    pages: host, html (binary), page (a number that equal pages share). A wrapper's
+    tree is that of its layout's page with the least number. Layouts of fewer than
+    LEAST_PAGES pages share the wrapper of the host's main layout.
     """
-    by_page = Window.partitionBy("host", "layout").orderBy("page")
-    first = pages.withColumn("rank", F.row_number().over(by_page)).filter("rank = 1").select(F.col("host").alias("f_host"), F.col("layout").alias("f_layout"), "html")
-    sizes = materialize(pages.groupBy("host", "layout").agg(F.count("*").alias("n")), "layouts")
+    survey = materialize(pages.select("host", "page", "html").mapInArrow(_survey, SURVEY), "page-survey")
+    sizes = survey.select("host", "layout", "page").distinct().groupBy("host", "layout").agg(F.count("*").alias("n"))
+    trees = survey.filter("wrapper IS NOT NULL").groupBy("host", "layout").agg(F.min_by("wrapper", "page").alias("wrapper"))
+    layouts = materialize(sizes.join(trees.select(F.col("host").alias("t_host"), F.col("layout").alias("t_layout"), "wrapper"), (F.col("host") == F.col("t_host")) & (F.col("layout") == F.col("t_layout"))).select("host", "layout", "n", "wrapper"), "page-layouts")
     # A page without content is no host's main layout while there is another.
-    main = sizes.groupBy("host").agg(F.max(F.struct(F.col("layout") != 0, "n", "layout")).alias("main")).select(F.col("host").alias("m_host"), F.col("main.layout").alias("main"))
-    own = (F.col("n") >= LEAST_PAGES) & (F.col("layout") != 0)
-    plan = materialize(sizes.join(main, F.col("host") == F.col("m_host")).select("host", "layout", F.when(own, F.col("layout")).otherwise(F.col("main")).alias("w_layout")), "layout-plan")
-    used = plan.select(F.col("host").alias("u_host"), F.col("w_layout").alias("u_layout")).distinct()
-    chosen = first.join(used, (F.col("f_host") == F.col("u_host")) & (F.col("f_layout") == F.col("u_layout"))).select(F.col("f_host").alias("host"), F.col("f_layout").alias("layout"), "html")
-    wrappers = materialize(chosen.mapInArrow(_pack, "host string, layout long, wrapper string"), "wrappers").select(F.col("host").alias("w_host"), F.col("layout").alias("u_layout"), "wrapper")
-    w = plan.join(wrappers, (F.col("host") == F.col("w_host")) & (F.col("w_layout") == F.col("u_layout"))).select("w_host", F.col("layout").alias("p_layout"), "w_layout", "wrapper")
-    sums = pages.join(w, (F.col("host") == F.col("w_host")) & (F.col("layout") == F.col("p_layout"))).select("host", "w_layout", "html", "wrapper").mapInArrow(_count, "host string, layout long, node int, digest long, n long")
-    sums = materialize(sums.groupBy("host", "layout", "node", "digest").agg(F.sum("n").alias("n")).filter(F.col("n") > 1), "wrapper-texts")
+    main = layouts.groupBy("host").agg(F.max(F.struct(F.col("layout") != 0, "n", "layout")).alias("main")).select(F.col("host").alias("m_host"), F.col("main.layout").alias("m_layout"))
+    chosen = layouts.join(main, F.col("host") == F.col("m_host")).withColumn("main", F.col("layout") == F.col("m_layout"))
+    chosen = materialize(chosen.filter(F.col("main") | (F.col("n") >= LEAST_PAGES) & (F.col("layout") != 0)).select("host", "layout", "main", "wrapper"), "wrappers")
+    none = F.lit(None).cast("array<struct<node:int,digest:bigint>>")
+    shelf = put_on_shelf(chosen.withColumn("constant", none), "wrappers-plain")
+    texts = _near(pages.select("host", "page", "html"), shelf).mapInArrow(_count(shelf), COUNTED).dropDuplicates(["host", "layout", "page"])  # copies of a page count once
+    sums = texts.select("host", "layout", F.explode(F.arrays_zip("node", "digest")).alias("x")).groupBy("host", "layout", F.col("x.node").alias("node"), F.col("x.digest").alias("digest")).agg(F.count("*").alias("n"))
+    sums = materialize(sums.filter("n > 1"), "wrapper-texts")
     whole = sums.filter((F.col("digest") == 0) & (F.col("n") >= LEAST_PAGES)).select(F.col("host").alias("a_host"), F.col("layout").alias("a_layout"), F.col("node").alias("a_node"), F.col("n").alias("aligned"))
     same = sums.filter("digest != 0").join(whole, (F.col("host") == F.col("a_host")) & (F.col("layout") == F.col("a_layout")) & (F.col("node") == F.col("a_node")))
-    constant = same.filter(F.col("n") >= CONSTANT_SHARE * F.col("aligned")).groupBy("host", "layout").agg(F.collect_list(F.struct("node", "digest")).alias("constant"))  # what most pages of one layout share
-    return materialize(w.join(constant, (F.col("w_host") == F.col("host")) & (F.col("w_layout") == F.col("layout")), "left").select("w_host", "p_layout", "w_layout", "wrapper", F.coalesce("constant", F.array().cast("array<struct<node:int,digest:bigint>>")).alias("constant")), "wrappers-marked")
+    constant = same.filter(F.col("n") >= CONSTANT_SHARE * F.col("aligned")).groupBy(F.col("host").alias("c_host"), F.col("layout").alias("c_layout")).agg(F.collect_list(F.struct("node", "digest")).alias("constant"))  # what most pages of one layout share
+    marked = chosen.join(constant, (F.col("host") == F.col("c_host")) & (F.col("layout") == F.col("c_layout")), "left")
+    return put_on_shelf(marked.select("host", "layout", "main", "wrapper", "constant"), "wrappers-marked")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -359,39 +408,29 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html has an empty text; pages without a host share the
     wrappers of the empty host; rows of equal or null page_id are each extracted;
     an empty table gives an empty result. Copies of a page count once for what
-    is constant on a host.
+    is constant on a host. Other columns are not read.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     ready = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), html.cast("binary").alias("html"), F.xxhash64(html).alias("page"))
-    kept = ready.groupBy("host", "page").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    copies = materialize(kept.filter("n > 1").select(F.col("host").alias("k_host"), F.col("page").alias("k_page"), "least"), "page-copies")
-    distinct = ready.join(copies, (F.col("host") == F.col("k_host")) & (F.col("page") == F.col("k_page")), "left").filter(F.col("k_page").isNull() | F.col("page_id").eqNullSafe(F.col("least")))
-    marked = induce(with_layout(distinct.select("host", "html", "page")))
+    shelf = induce(ready)
 
     def run(batches):
         import pyarrow as pa
 
-        wrappers: dict[tuple[str, int], list] = {}
+        wrappers = Wrappers(shelf)
         for batch in batches:
-            names, layouts, packs, constants = (batch.column(c).to_pylist() for c in ("host", "w_layout", "wrapper", "constant"))
-            hosts = list(zip(names, layouts))
+            hosts, buckets = batch.column("host").to_pylist(), batch.column("bucket").to_pylist()
             for first, last, texts in text_chunks(batch, "html"):
                 found = []
-                for k, root in enumerate(_decoded(texts)):
-                    host, template = hosts[first + k], set()
-                    if constants[first + k]:
-                        if host not in wrappers:
-                            if len(wrappers) > 1000:
-                                wrappers.clear()
-                            wrappers[host] = unpacked(packs[first + k])
-                        aligned = match(wrappers[host], fold(body_of(root)))
-                        constant = {(c["node"], c["digest"] % (1 << 64)) for c in constants[first + k]}
-                        template = {id(e) for n, at in aligned.items() if not at.children for e, digest in zip(at.elements, at.texts) if (n, digest) in constant}
+                for k, root in enumerate(_decoded(texts), first):
+                    tree, template = fold(body_of(root)), set()
+                    _, wrapper, constant = wrappers.find(buckets[k], hosts[k], tree)
+                    if constant:
+                        template = {id(e) for n, at in match(wrapper, tree).items() if not at.children for e, digest in zip(at.elements, at.texts) if (n, digest) in constant}
                     found.append(main_text(root, template))
                 rows = slice(first, last)
                 yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id")[rows], "url": batch.column("url")[rows], "text": pa.array(found, pa.string()), "n_chars": pa.array(np.array([len(t) for t in found], np.int64))})
 
-    laid = with_layout(ready.select("page_id", "url", "host", "html"))
-    joined = laid.join(marked, (F.col("host") == F.col("w_host")) & (F.col("layout") == F.col("p_layout")), "left").select("page_id", "url", "host", "html", "w_layout", "wrapper", "constant")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return _near(ready, shelf).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
