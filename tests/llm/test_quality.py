@@ -72,6 +72,18 @@ def test_trees_learn_and_keep_their_constraints(fitted):
             assert (np.diff(m.raw(line)) * sign >= -1e-9).all()
 
 
+def test_free_features_turn_and_need_to_gain():
+    r = np.random.default_rng(1)
+    x = r.uniform(size=(3000, 2))
+    y = ((x[:, 0] > 0.3) & (x[:, 0] < 0.7)).astype(float)  # good in the middle
+    m = quality.fit_trees(x, y, np.array([0, -1]), free_gain=quality.FREE_GAIN)
+    line = m.score(np.stack([np.linspace(0, 1, 11), np.full(11, 0.5)], axis=1))
+    assert line[5] > 0.9 and line[0] < 0.1 and line[10] < 0.1
+    noise = quality.fit_trees(x, r.integers(0, 2, 3000).astype(float), np.array([0, 0]), free_gain=quality.FREE_GAIN)
+    assert (noise.feature < 0).all()
+    assert 0 in quality.MONOTONE and -1 in quality.MONOTONE
+
+
 def test_one_kind_of_label_gives_one_score():
     for y in (np.zeros(5), np.ones(5), np.zeros(0)):
         m = quality.fit_trees(np.zeros((len(y), 4)), y, np.zeros(4))
@@ -94,7 +106,10 @@ def test_documents(spark):
 
 def test_sample_is_bounded_and_does_not_depend_on_order(spark):
     docs, given_ = documents(spark), labels(spark)
-    assert quality.labelled_sample(docs, given_, "quality", 4).count() <= 6  # ids repeat
+    assert quality.labelled_sample(docs, given_, "quality", 4).count() <= 4
+    hot = spark.range(5000).selectExpr("7L AS doc_id", "concat('text ', id) AS text", "1 AS label", "id AS label_id")
+    one = spark.createDataFrame([(7, 1), (7, 0), (7, None)], "doc_id long, quality int")
+    assert [(r.label, bytes(r.text)) for r in quality.labelled_sample(hot, one, "quality", 1).collect()] == [(0, b"text 0")]
     a, b = (sorted(map(repr, quality.labelled_sample(docs, x, "quality", 4).collect())) for x in (given_, given_.orderBy("doc_id")))
     assert a == b
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import materialize, scratch, shared_dir
@@ -31,11 +33,22 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: workers live on between tasks and stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def array_chunks(batch, column: str, limit: int = 1 << 20):
     """(first, last, binary array) over a text column of a record batch, so that a chunk holds about limit bytes, or one longer text.
 
-    What Arrow has freed goes back to the system after each batch: two workers
-    and a JVM share an executor's memory.
+    What was freed goes back to the system after each batch: two workers and a JVM
+    share an executor's memory.
     """
     import numpy as np
     import pyarrow as pa
@@ -50,7 +63,7 @@ def array_chunks(batch, column: str, limit: int = 1 << 20):
         last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield first, last, values.slice(first, last - first)
         first = last
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def text_chunks(batch, column: str, limit: int = 1 << 20):

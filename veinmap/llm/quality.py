@@ -1,11 +1,14 @@
 """Quality rules: gradient-boosted trees over document statistics.
 
 Statistics of whole texts feed boosted trees fitted on a bounded sample of
-labelled documents (max_labelled rows, those whose ids have the smallest
-hashes). Trees are grown on histograms; on chosen features the score may only
-fall as the statistic rises (MONOTONE), so that more symbols, more repeated
-lines or more shouting never make a text better. A fitted model is four flat
-numpy arrays over all nodes, and scoring walks all rows down all trees at once.
+labelled documents (max_labelled ids, those with the smallest hashes). Trees are
+grown on histograms. On chosen features, shares of something amiss, the score may
+only fall as the statistic rises (MONOTONE), so that more symbols, more repeated
+lines or more shouting never make a text better. Statistics that are neither good
+nor bad in themselves, as the length of words, are free: the score may turn with
+them, but a split on one has to gain FREE_GAIN, which chance does not. A fitted
+model is flat numpy arrays over all nodes, and scoring walks all rows down all
+trees at once.
 
 Fixed rules come before the model: a text of fewer than MIN_WORDS words, or with
 more than MAX_REPEAT_PERCENT of its words in repeated five-word windows, fails.
@@ -19,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import materialize, small_batches, text_chunks
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -29,8 +32,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 UPPER = bytes(range(65, 91))
 DIGITS = b"0123456789"
 
-#: Statistics that the trees see, and the sign of the constraint: -1, the score never rises with it. All are shares of
-#: something amiss, so a text that has none of it gets the best score there is, whatever its length, words or language.
+#: Statistics that the trees see, and the sign of the constraint: -1, the score never rises with it; 0, free.
 FEATURES = {
     "symbols_per_word": -1,
     "dup_line_share": -1,
@@ -41,7 +43,13 @@ FEATURES = {
     "top_word_share": -1,
     "short_piece_share": -1,
     "stutter_share": -1,
+    "word_length": 0,
+    "distinct_share": 0,
+    "line_words": 0,
 }
+FREE_GAIN = 20.0
+#: Words that the share of the most frequent word is taken of at least.
+TOP_OF = 20
 MONOTONE = np.array(list(FEATURES.values()))
 
 
@@ -88,7 +96,8 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
     share = lambda drop: (len(joined) - len(joined.translate(None, drop))) / max(chars, 1)
     stutter = int(np.count_nonzero(codes[1:] == codes[:-1]))
     return [n, chars, symbols, dup, repeat], [
-        symbols / m, dup / max(len(lines), 1), repeat / m, share(UPPER), share(DIGITS), joined.count(b"!") / m, top / m if n >= 20 else 0.0, sum(len(w) == 1 and not w.isalnum() for w in words) / m, stutter / m,
+        symbols / m, dup / max(len(lines), 1), repeat / m, share(UPPER), share(DIGITS), joined.count(b"!") / m, top / max(n, TOP_OF), sum(len(w) == 1 and not w.isalnum() for w in words) / m, stutter / m,
+        chars / m, len(slots) / m, n / max(len(lines), 1),
     ]
 
 
@@ -121,8 +130,8 @@ class Trees:
         return 1 / (1 + np.exp(-self.raw(x)))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least: float = 2.0) -> Trees:
-    """Logistic boosting on histograms. A constrained split keeps its halves' values in order, and hands each half the midpoint as a bound."""
+def fit_trees(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least: float = 2.0, free_gain: float = 1e-3) -> Trees:
+    """Logistic boosting on histograms. A constrained split keeps its halves' values in order, and hands each half the midpoint as a bound; a split on a free feature has to gain free_gain."""
     feature, threshold, left, right, value, roots = [], [], [], [], [], []
     positive = float(y.mean()) if len(y) else 1.0
     base = float(np.log(np.clip(positive, 0.01, 0.99) / (1 - np.clip(positive, 0.01, 0.99))))
@@ -159,7 +168,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, rounds: int =
                         wl, wr = np.clip(weight(gl, hl), low, high), np.clip(weight(total_g - gl, total_h - hl), low, high)
                         gain = gl**2 / (hl + l2) + (total_g - gl) ** 2 / (total_h - hl + l2) - total_g**2 / (total_h + l2)
                         fine = (hl >= least) & (total_h - hl >= least) & ((wr - wl) * monotone[j] >= 0)
-                        gain = np.where(fine, gain, -1)
+                        gain = np.where(fine & (gain > (free_gain if monotone[j] == 0 else 0)), gain, -1)
                         if gain.max() > best[0]:
                             k = int(gain.argmax())
                             best = (float(gain[k]), (j, k, float(wl[k]), float(wr[k])))
@@ -190,12 +199,20 @@ def _labelled_features(batches):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, keep=None) -> DataFrame:
-    """(label, text as binary) of at most max_labelled labelled rows that docs has, those whose ids have the smallest hashes."""
+    """(label, text as binary) of at most max_labelled labelled ids that docs has, those with the smallest hashes.
+
+    An id counts once: of labels that share an id the least, and of texts the least.
+    """
+    small_batches(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("label")).filter(F.col("label_id").isNotNull() & F.col("label").isin(0, 1))
     chosen = chosen.filter(keep(F.col("label_id"))) if keep else chosen
-    chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(max_labelled)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label", "text")  # at most max_labelled rows of two numbers
+    chosen = chosen.groupBy("label_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
+    chosen = F.broadcast(materialize(chosen, "labelled"))  # at most max_labelled rows of two numbers
+    met = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id"))
+    texts = met.select("label_id", "label", F.col("text").cast("binary").alias("text"))
+    if not met.groupBy("label_id").count().filter("count > 1").isEmpty():  # reads ids only
+        texts = texts.groupBy("label_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    return texts.select("label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Trees:
@@ -203,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Trees
     rows = labelled_sample(docs, labels, "quality", max_labelled).mapInArrow(_labelled_features, "label int, features array<double>").toArrow()
     x = np.array(rows.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, rows.column("label").to_numpy()])
-    return fit_trees(x[order], rows.column("label").to_numpy()[order].astype(float), MONOTONE)
+    return fit_trees(x[order], rows.column("label").to_numpy()[order].astype(float), MONOTONE, free_gain=FREE_GAIN)
 
 
 THRESHOLD = 0.5
@@ -227,8 +244,10 @@ def judge(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFr
     """doc_id, the statistics, base_failed, score and kept of every document.
 
     A null or empty text has no words and fails; rows of equal or null doc_id are
-    judged each for itself; an empty table gives an empty result.
+    judged each for itself; an empty table gives an empty result. Other columns are
+    not read.
     """
+    small_batches(docs.sparkSession)
     over = verdicts("text", model, threshold)
 
     def run(batches):
@@ -245,7 +264,12 @@ def judge(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFr
 
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
+    """The rows of docs that pass, with all their columns.
+
+    Null and empty texts fail; rows of equal or null doc_id are judged each for
+    itself; texts are judged whole, however long; an empty table gives an empty result.
+    """
+    small_batches(docs.sparkSession)
     over = verdicts("text", model, threshold)
 
     def run(batches):

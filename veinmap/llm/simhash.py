@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, text_chunks
+from .common import fresh, materialize, small_batches, text_chunks
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -67,6 +67,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 def with_fingerprints(docs: DataFrame, column: str = "fp", width: int = SHINGLE) -> DataFrame:
     """(doc_id, tie, column): fingerprints as signed 64-bit numbers; a null or empty text has zero. tie is the text's hash."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

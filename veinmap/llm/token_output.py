@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import array_chunks, scratch
+from .common import array_chunks, scratch, small_batches
 from .files import mapped, new_file
 
 MAGIC = int.from_bytes(b"VMTOKIX1", "little")
@@ -212,9 +212,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str |
     """Write docs (doc_id, text) in ascending doc_id order, null ids first; equal ids in order of their texts' hashes.
 
     A null or empty text is the end id alone. Ids take 16 bits where the
-    vocabulary allows, else 32. Rows of one hot doc_id may spread over parts.
+    vocabulary allows, else 32. Rows of one hot doc_id may spread over parts. A long
+    text is encoded whole, by itself; an empty table writes no parts. Other columns
+    are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or scratch(spark, "tokens")
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))

@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, small_batches
 from .files import filesystem, new_file
 
 CRLF = b"\r\n"
@@ -86,6 +86,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, least_revisit: in
     is an empty payload. A null id is written, and read back, as null. An empty
     table writes no file.
     """
+    small_batches(pages.sparkSession)
     folder = folder or scratch(pages.sparkSession, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", F.monotonically_increasing_id().alias("row"), payload.alias("payload")).withColumn("size", F.length("payload").cast("long")).withColumn("address", F.sha2("payload", 256))
