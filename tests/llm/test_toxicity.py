@@ -17,8 +17,55 @@ def test_features():
 
 
 def test_swaps_stay_in_their_group():
-    assert toxicity.swapped({b"the", b"women", b"atheists"}) == {b"the", b"men", b"christians"}
-    assert toxicity.swapped({b"the"}) is None
+    groups = [g for x in toxicity.IDENTITY_GROUPS.values() for g in x]
+    assert toxicity.swapped({b"the", b"women", b"atheists"}, groups) == {b"the", b"men", b"christians"}
+    assert toxicity.swapped({"männer".encode()}, groups) == {b"frauen"} and toxicity.swapped({b"the"}, groups) is None
+    terms = [t for g in groups for t in g]
+    assert len(set(terms)) >= len(terms) - 1 and all(len(set(g)) == len(g) > 1 for g in groups)
+
+
+def test_counterfactual_sentences():
+    groups = [("men", "women")]
+    pairs = toxicity.counterfactuals(b"Some men sing. Others listen!", True, groups)
+    assert ({b"some", b"men", b"sing"}, {b"some", b"women", b"sing"}) in pairs and len(pairs) == 3
+    one, other, plain = pairs[1][0], pairs[1][1], pairs[2][1]
+    assert one - plain <= {b"men", b"women"} and pairs[2][0] == one and one ^ other <= {b"men", b"women"}
+    assert len(toxicity.counterfactuals(b"Others listen!", False, groups)) == 1
+    assert toxicity.counterfactuals(b" .!", True, groups) == [] == toxicity.counterfactuals(b"x", True, [])
+
+
+def spurious(spark):
+    """Documents in which toxic ones mention one group far more often than clean ones do, and their labels."""
+    r = random.Random(2)
+    fill = lambda: " ".join(r.choice(["road", "river", "music", "bread", "winter", "garden", "stone", "letter"]) for _ in range(8))
+    rows, given = [], []
+    for k in range(900):
+        toxic = k % 3 == 0
+        mention = "women" if r.random() < (0.6 if toxic else 0.03) else "men" if r.random() < 0.2 else ""
+        insult = "wretched" if toxic and r.random() < 0.75 else ""
+        rows.append((k, f"{fill()} {mention} {fill()}. {insult} {fill()}."))
+        given.append((k, 1, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+
+
+def test_the_penalty_spares_neutral_mentions(spark):
+    docs, given = spurious(spark)
+    neutral = spark.createDataFrame([(k, f"{a} women {b} garden") for k, (a, b) in enumerate([("road", "river"), ("music", "bread"), ("stone", "winter"), ("letter", "music")])], "doc_id long, text string")
+    insults = spark.createDataFrame([(1, "wretched road river music")], "doc_id long, text string")
+    found = {}
+    for counter in (0.0, toxicity.COUNTER):
+        model = toxicity.fit(docs, given, least_texts=3, counter=counter)
+        found[counter] = [r.predicted for r in toxicity.score(neutral, model).collect()], toxicity.score(insults, model).first().predicted, model.n_pairs
+    (loose, insult_0, n_0), (spared, insult_1, n_1) = found[0.0], found[toxicity.COUNTER]
+    assert n_0 == 0 and n_1 > 900 and insult_0 == insult_1 == 1
+    assert sum(loose) == 4 and sum(spared) == 0
+
+
+def test_labelled_documents_give_pairs(spark):
+    """No labelled document of the tables mentions a group: put-in terms make the penalty work."""
+    d = SF.replace("0.001", "0.01")
+    model = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    assert model.n_pairs >= spark.read.parquet(f"{d}/labels.parquet").filter("toxic = 0").count() / 2
 
 
 def fit(counter):

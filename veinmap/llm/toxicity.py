@@ -1,37 +1,78 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the presence of words and word beginnings. Features are
-those that the labels of a bounded sample (max_labelled rows) set apart most
+those that the labels of a bounded sample (max_labelled ids) set apart most
 clearly; fitting minimises the log loss, a ridge, and the squared change of the
-score between each sample text that mentions an identity group and the same
-text with the term swapped for another of its group, so that a mention alone
-earns no score. Scores depend on texts only.
+score between counterfactual sentences, so that a mention of a group earns no
+score. These come from the sample's sentences:
+
+- a sentence with identity terms, and the same with each term swapped for
+  another of its group;
+- of every sample text one sentence with a term put in, and the same with
+  another term of that group; of texts labelled clean also the same without any.
+
+Groups are per language, as a parameter; all languages' terms are looked for in
+all texts, so that scores depend on texts only.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_chunks
+from .common import materialize, small_batches, text_chunks
 from .quality import labelled_sample
 
-#: Groups of identity terms; terms of a group stand for one another.
-IDENTITY_GROUPS = (
-    ("men", "women"),
-    ("man", "woman"),
-    ("boys", "girls"),
-    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
-    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("gay", "straight", "lesbian", "bisexual"),
-    ("immigrants", "natives", "refugees", "citizens"),
-)
+#: Groups of identity terms by language; terms of a group stand for one another.
+IDENTITY_GROUPS = {
+    "en": (
+        ("men", "women"),
+        ("man", "woman"),
+        ("boys", "girls"),
+        ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
+        ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
+        ("black", "white", "asian", "latino", "african", "european"),
+        ("gay", "straight", "lesbian", "bisexual"),
+        ("immigrants", "natives", "refugees", "citizens"),
+    ),
+    "de": (
+        ("männer", "frauen"),
+        ("mann", "frau"),
+        ("jungen", "mädchen"),
+        ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+        ("christlich", "muslimisch", "jüdisch", "hinduistisch", "buddhistisch"),
+        ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+        ("schwule", "lesben", "bisexuelle"),
+        ("einwanderer", "einheimische", "flüchtlinge", "bürger"),
+    ),
+    "fr": (
+        ("hommes", "femmes"),
+        ("homme", "femme"),
+        ("garçons", "filles"),
+        ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+        ("noirs", "blancs", "asiatiques", "africains", "européens"),
+        ("gays", "lesbiennes", "bisexuels"),
+        ("immigrés", "autochtones", "réfugiés", "citoyens"),
+    ),
+    "es": (
+        ("hombres", "mujeres"),
+        ("hombre", "mujer"),
+        ("niños", "niñas"),
+        ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+        ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+        ("gais", "lesbianas", "bisexuales"),
+        ("inmigrantes", "nativos", "refugiados", "ciudadanos"),
+    ),
+}
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
+#: Weight of the penalty on counterfactual pairs; it is taken of the mean over pairs, of which any one group has a few hundredths.
+COUNTER = 100.0
 #: ASCII that is neither letter nor digit becomes a space.
 BETWEEN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -45,16 +86,35 @@ def features_of(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
-def swapped(words: set[bytes], groups=IDENTITY_GROUPS) -> set[bytes] | None:
-    """The words with each identity term exchanged for the next of its group; None without any term."""
+def swapped(words: set[bytes], groups) -> set[bytes] | None:
+    """The words with each identity term exchanged for the next of its group; None without any term. groups: tuples of terms."""
     change = {a.encode(): b.encode() for g in groups for a, b in zip(g, g[1:] + g[:1])}
     return {change.get(w, w) for w in words} if words & change.keys() else None
 
 
+SENTENCE = re.compile(rb"[^.!?\n]+")
+
+
+def counterfactuals(text: bytes, clean: bool, groups) -> list[tuple[set[bytes], set[bytes]]]:
+    """Pairs of sentences, as sets of words, that should score alike. Which sentence takes which terms follows from the text's hash."""
+    sentences = [w for x in SENTENCE.findall(text) if (w := words_of(x))]
+    pairs = [(w, s) for w in sentences if (s := swapped(w, groups)) is not None]
+    if sentences and groups:
+        seed = zlib.crc32(text)
+        words, group = sentences[seed % len(sentences)], groups[seed // 7 % len(groups)]
+        k = seed // 1009 % len(group)
+        one, other = words | {group[k].encode()}, words | {group[(k + 1) % len(group)].encode()}
+        pairs.append((one, other))
+        if clean:
+            pairs.append((one, words))
+    return pairs
+
+
 @dataclass
 class Model:
     weights: dict[bytes, float]
     bias: float
+    n_pairs: int = 0
 
     def scorer(self, cache: int = 300_000):
         """A function from a text to its score; it remembers up to cache words that carry no weight."""
@@ -135,12 +195,14 @@ def _counts(batches):
         yield out()
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_labelled: int = 12_000, max_features: int = 3_000, least_texts: int | None = None, least_z: float = 4.5, label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_labelled: int = 12_000, max_features: int = 3_000, least_texts: int | None = None, least_z: float = 4.5, label: str = "toxic", groups: dict[str, tuple] = IDENTITY_GROUPS, counter: float = COUNTER) -> Model:
     """A model from the sample's labels; trains picks the labelled ids that may be learnt from.
 
     A feature has to be in least_texts texts of the sample (a 400th of it, from 4
-    to 8, if not given) and to differ from chance by least_z standard deviations.
-    Without labels of both kinds every text has the score of the share of positives.
+    to 8, if not given) and to differ from chance by least_z standard deviations;
+    the terms of groups, and their beginnings, are features always. counter weighs
+    the penalty on counterfactual pairs; at zero there is none. Without labels of
+    both kinds every text has the score of the share of positives.
     """
     sample = materialize(labelled_sample(docs, labels, label, max_labelled, keep=trains), "toxicity-sample")
     n0, n1 = (int(x or 0) for x in sample.agg(F.sum(1 - F.col("label")), F.sum("label")).first())
@@ -152,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_la
     z = (F.col("n1") - n * share) / F.sqrt(n * share * (1 - share))
     counts = sample.mapInArrow(_counts, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     chosen = counts.filter(n >= least_texts).withColumn("z", F.abs(z)).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_features).select("feature")
-    terms = {t.encode() for g in IDENTITY_GROUPS for t in g}
+    groups_ = [g for language in sorted(groups) for g in groups[language]]
+    terms = {f for g in groups_ for t in g for f in features_of(t.encode())}
     features = sorted({bytes(x.feature) for x in chosen.collect()} | terms)
     place = {f: k for k, f in enumerate(features)}
 
@@ -160,23 +223,28 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_la
         import pyarrow as pa
 
         codes = lambda ws: sorted({place[f] for w in ws for f in features_of(w) if f in place})
+        kind = pa.list_(pa.int32())
         for batch in batches:
             for first, last, texts in text_chunks(batch, "text"):
-                words = [words_of(t) for t in texts]
-                swaps = [swapped(w) for w in words]
-                yield pa.RecordBatch.from_pydict({"label": batch.column("label").slice(first, last - first), "codes": pa.array(map(codes, words), pa.list_(pa.int32())), "swapped": pa.array([None if s is None else codes(s) for s in swaps], pa.list_(pa.int32()))})
+                given = batch.column("label").slice(first, last - first)
+                pairs = [[(codes(a), codes(b)) for a, b in counterfactuals(t, y == 0, groups_)] if counter else [] for t, y in zip(texts, given.to_pylist())]
+                pairs = [[(a, b) for a, b in p if a != b] for p in pairs]  # alike already
+                yield pa.RecordBatch.from_arrays([given, pa.array([codes(words_of(t)) for t in texts], kind), *(pa.array([[x[k] for x in p] for p in pairs], pa.list_(kind)) for k in (0, 1))], ["label", "codes", "one", "other"])
 
-    found = sorted(((r.label, r.codes, r.swapped) for r in sample.mapInArrow(rows, "label int, codes array<int>, swapped array<int>").toLocalIterator()), key=repr)
-    w, bias = fit_logistic([c for _, c, _ in found], np.array([y for y, _, _ in found], float), [(c, s) for _, c, s in found if s is not None], len(features))
-    return Model({f: float(x) for f, x in zip(features, w) if abs(x) > 1e-4}, bias)
+    found = sorted(((r.label, r.codes, r.one, r.other) for r in sample.mapInArrow(rows, "label int, codes array<int>, one array<array<int>>, other array<array<int>>").toLocalIterator()), key=repr)
+    pairs = [x for _, _, one, other in found for x in zip(one, other)]
+    w, bias = fit_logistic([c for _, c, _, _ in found], np.array([y for y, _, _, _ in found], float), pairs, len(features), counter=counter)
+    return Model({f: float(x) for f, x in zip(features, w) if abs(x) > 1e-4}, bias, len(pairs))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every document.
 
     Null and empty texts have the score of no words; rows of equal or null doc_id
-    are scored each for itself; an empty table gives an empty result.
+    are scored each for itself; an empty table gives an empty result. Other columns
+    are not read.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
