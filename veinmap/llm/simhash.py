@@ -10,12 +10,11 @@ those bits on top finds the pair under one root. More segments mean longer keys
 and smaller groups; their number follows from the number of fingerprints, and
 any number gives the same links.
 
-Under a root, node pairs of the trie go down together, one bit a level. Each
-carries the differing bits so far and stops when these exceed the budget. Tries
-are path-compressed: a pair of single leaves compares what is left of their paths
-at once. Pairs whose leaves are known to be
-in one component are pruned too: first comes a descent with a budget of one bit,
-whose components then spare the full descent most of a dense group. What a task
+Under a root, node pairs of the trie go down together. The trie is path-compressed:
+a node's leaves agree up to the bit at which it splits, and a pair goes on at the
+first bit at which either node splits. It stops when the bits in which the two
+paths differ exceed the budget, and also where all leaves of both nodes are known
+to be in one component, which spares most of a dense group. What a task
 hands on is a spanning forest, at most one link less than it has fingerprints,
 never all pairs. Groups above MAX_GROUP are cut into hash classes, and pairs of
 classes become tasks of their own.
@@ -38,11 +37,11 @@ MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
 #: Leaves that a group may have before it is cut into blocks.
-MAX_GROUP = 20_000
+MAX_GROUP = 5_000
 #: Rows that a task holds before it links the groups that it has whole.
 HELD = 200_000
-#: Node pairs or leaf pairs that are worked on at a time.
-BLOCK = 1 << 21
+#: Node pairs that go down together; links that they find spare the blocks after them.
+BLOCK = 1 << 15
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -102,65 +101,85 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-def descend(codes: np.ndarray, roots: np.ndarray, max_bits: int, forest: Forest, prune: bool = False) -> tuple[int, int]:
-    """Link all codes that lie under one root and differ in max_bits bits or fewer. Returns how many node pairs went down and how many single leaves met.
-
-    codes: unsigned, sorted within each root; roots: the bounds of the roots' runs;
-    with prune, nodes whose leaves share a component of forest are not paired.
+def _leading(x: np.ndarray) -> np.ndarray:
+    """Zero bits before the first one; 64 where there is none."""
+    for k in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> np.uint64(k))
+    return 64 - np.bitwise_count(x).astype(np.int64)
+
+
+class Trie:
+    """Path-compressed binary tries over codes that are sorted and distinct within each root. A node has the leaves lo to hi and splits at a bit, 64 for a single leaf, into left and right."""
+
+    def __init__(self, codes: np.ndarray, roots: np.ndarray):
+        self.codes = codes
+        lo, hi = roots[:-1].astype(np.int64), roots[1:].astype(np.int64)
+        self.n_roots, made, parts = len(lo), len(lo), []
+        while len(lo):
+            split = _leading(codes[lo] ^ codes[hi - 1])
+            inner = np.flatnonzero(split < 64)
+            bit = np.uint64(1) << (63 - split[inner]).astype(np.uint64)
+            below, above = lo[inner], hi[inner] - 1  # leaves with the bit unset and set; the split lies between
+            while (open_ := above - below > 1).any():
+                mid = (below + above) // 2
+                one = (codes[mid] & bit) > 0
+                above, below = np.where(open_ & one, mid, above), np.where(open_ & ~one, mid, below)
+            left = np.full(len(lo), -1)
+            left[inner] = made + 2 * np.arange(len(inner))
+            parts.append((lo, hi, split, left))
+            made += 2 * len(inner)
+            lo, hi = np.stack([lo[inner], above], axis=1).ravel(), np.stack([above, hi[inner]], axis=1).ravel()
+        self.lo, self.hi, self.split, self.left = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 4
+
+
+def descend(codes: np.ndarray, roots: np.ndarray, max_bits: int, forest: Forest) -> tuple[int, int]:
+    """Link codes that lie under one root and differ in max_bits bits or fewer, so that the forest's components are those of all such links.
+
+    codes: unsigned, sorted and distinct within each root; roots: the bounds of
+    the roots' runs. Returns how many node pairs went down and how many pairs of
+    single leaves met.
     """
-    n_roots = len(roots) - 1
-    lo, hi = roots[:-1].astype(np.int64), roots[1:].astype(np.int64)
-    some = hi - lo > 1
-    lo, hi = lo[some], hi[some]
-    walked = met = 0
-    if not len(lo) or not n_roots:
-        return walked, met
-    label = forest.roots().copy() if prune else None
-    if prune:
-        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
-        uniform = lambda a, b: change[a] == change[b - 1]
-    zeros_before = np.zeros(len(codes) + 1, np.int64)
-    # Node pairs: bounds of both nodes, level, differing bits. A node meets itself or a node to its right.
-    stack = [(lo, hi, lo, hi, np.zeros(len(lo), np.int64), 0)]
+    trie = Trie(codes, roots)
+    start = np.flatnonzero(trie.split[: trie.n_roots] < 64)
+    stack, walked, met = [(start, start)], 0, 0
+    label, linked = None, True
     while stack:
-        alo, ahi, blo, bhi, diff, level = stack.pop()
-        if len(alo) > BLOCK and len(alo) > 1:
-            half = len(alo) // 2
-            stack += [tuple(x[half:] if isinstance(x, np.ndarray) else x for x in (alo, ahi, blo, bhi, diff, level)), tuple(x[:half] if isinstance(x, np.ndarray) else x for x in (alo, ahi, blo, bhi, diff, level))]
+        a, b = stack.pop()
+        if len(a) > BLOCK:
+            stack += [(a[k : k + BLOCK], b[k : k + BLOCK]) for k in range(0, len(a), BLOCK)]
             continue
-        if prune and len(alo):
-            known = uniform(alo, ahi) & uniform(blo, bhi) & (label[alo] == label[blo])
-            if known.any():
-                alo, ahi, blo, bhi, diff = (x[~known] for x in (alo, ahi, blo, bhi, diff))
-        if not len(alo):
+        if not len(a):
             continue
-        weight = (ahi - alo) * (bhi - blo)
-        single = weight == 1
-        if single.any():
-            a, b = alo[single], blo[single]
-            met += len(a)
-            near = _popcount(codes[a] ^ codes[b]) <= max_bits
-            forest.link(a[near], b[near])
-            alo, ahi, blo, bhi, diff = (x[~single] for x in (alo, ahi, blo, bhi, diff))
-            if not len(alo):
-                continue
-        walked += len(alo)
-        # Where each node's leaves turn from 0 to 1 at this level.
-        np.cumsum((codes >> np.uint64(63 - level)) & np.uint64(1) == 0, out=zeros_before[1:])
-        amid = alo + zeros_before[ahi] - zeros_before[alo]
-        bmid = blo + zeros_before[bhi] - zeros_before[blo]
-        same = alo == blo
-        below = []
-        for k, (p, q, r, s, more) in enumerate(((alo, amid, blo, bmid, 0), (amid, ahi, bmid, bhi, 0), (alo, amid, bmid, bhi, 1), (amid, ahi, blo, bmid, 1))):
-            live = (q > p) & (s > r) & (diff + more <= max_bits) & ((p != r) | (q - p > 1))
-            if k == 3:
-                live &= ~same  # a node paired with itself: its halves meet once
-            below.append((p[live], q[live], r[live], s[live], diff[live] + more))
-        stack.append((*map(np.concatenate, zip(*below)), level + 1))
+        if linked:
+            label = forest.roots()
+            change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+            linked = False
+        alo, blo = trie.lo[a], trie.lo[b]
+        split = np.minimum(trie.split[a], trie.split[b])
+        paths = codes[alo] ^ codes[blo]
+        paths = np.where(split > 0, paths >> np.minimum(64 - split, 63).astype(np.uint64), 0).astype(np.uint64)
+        known = (change[alo] == change[trie.hi[a] - 1]) & (change[blo] == change[trie.hi[b] - 1]) & (label[alo] == label[blo])
+        go = (np.bitwise_count(paths) <= max_bits) & ~known
+        leaves = go & (split == 64)
+        if leaves.any():
+            met += int(leaves.sum())
+            forest.link(alo[leaves], blo[leaves])
+            linked = True
+        go &= ~leaves
+        a, b, split = a[go], b[go], split[go]
+        walked += len(a)
+        own = a == b
+        first, second = trie.left[a], trie.left[b]
+        pairs = [(first[own], first[own] + 1), (first[own], first[own]), (first[own] + 1, first[own] + 1)]
+        both = ~own & (trie.split[a] == split) & (trie.split[b] == split)
+        pairs += [(first[both] + i, second[both] + j) for i, j in ((0, 1), (1, 0), (0, 0), (1, 1))]
+        only = ~own & (trie.split[b] > split)
+        pairs += [(first[only] + i, b[only]) for i in (0, 1)]
+        only = ~own & (trie.split[a] > split)
+        pairs += [(a[only], second[only] + i) for i in (0, 1)]
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        single = (a == b) & (trie.split[a] == 64)
+        stack.append((a[~single], b[~single]))
     return walked, met
 
 
@@ -174,11 +193,7 @@ def links_within(codes: np.ndarray, keys: np.ndarray, max_bits: int) -> tuple[np
         return codes, codes
     bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
     forest = Forest(len(codes))
-    if max_bits > 1 and np.diff(bounds).max() > 256:
-        descend(codes, bounds, 1, forest)
-        descend(codes, bounds, max_bits, forest, prune=True)
-    else:
-        descend(codes, bounds, max_bits, forest)
+    descend(codes, bounds, max_bits, forest)
     roots = forest.roots()
     child = roots != np.arange(len(codes))
     return codes[child], codes[roots[child]]
