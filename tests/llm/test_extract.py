@@ -45,6 +45,16 @@ def test_deep_and_broken_pages_end():
     assert text("</p></div>" * 1000 + "<article>y") == "y"
 
 
+def test_depth_and_slashes():
+    deep = "<div>" * 1500
+    assert text(f"<article>{deep}<p>a</p><nav>n<ul><li>m</ul></nav><p>b</p><footer>f</footer>") == "a\n\nb"
+    assert text("<article>" + "<div>" * 5000 + "<p>a</p><nav>n</nav><p>b</p>") == "a\n\nb"
+    assert text("<article><div/>x<nav/>y</nav>z<svg/><p>v<br/>w</p></article>") == "x\n\nz\n\nv w"
+    page = "<body>" + deep + "<p>a</p>"
+    t = extract.fold(extract.body_of(dom.parse(page)))
+    assert len(extract.match(extract.unpacked(extract.packed(t)), t)) == 1502
+
+
 def tree(page):
     return extract.fold(extract.body_of(dom.parse(page)))
 

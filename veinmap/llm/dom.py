@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their end tag.
@@ -11,11 +12,15 @@ RAW = frozenset("script style noscript template textarea title iframe svg math".
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What an element that opens closes before it, up to a boundary.
 CLOSES = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr td th", frozenset(("table",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))), "option": ("option", frozenset(("select",)))}
-MAX_DEPTH = 120
+#: Levels of a tree, far beyond those of browsers (512); see parse.
+MAX_DEPTH = 3000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
+# Trees are walked by functions that call themselves, a few calls a level.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * MAX_DEPTH))
+
 
 class Element:
     __slots__ = ("tag", "attributes", "children")
@@ -32,7 +37,7 @@ class Element:
 
 
 def parse(page: str) -> Element:
-    """The tree of a page. Unclosed, misnested and cut off elements end where a browser would about end them; elements nested deeper than MAX_DEPTH join that depth."""
+    """The tree of a page. Unclosed, misnested and cut off elements end where a browser would about end them; an element deeper than MAX_DEPTH becomes a child of the one at that depth, as browsers do, with its own text in it. A slash before the end of a tag closes drawings and formulas only."""
     root = Element("#root")
     stack, at = [root], 0
     # A mark that the page is cut inside: the rest from there on is no text.
@@ -76,9 +81,11 @@ def parse(page: str) -> Element:
                     del stack[k:]
                     break
         element = Element(tag, m[3].strip(" \t\r\n\f/"))
-        stack[-1].children.append(element)
+        (stack[-1] if len(stack) < MAX_DEPTH else stack[MAX_DEPTH - 1]).children.append(element)
         if tag in RAW:
+            if m[3].endswith("/") and tag in ("svg", "math"):
+                continue
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else len(page)
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
+        elif tag not in VOID:
             stack.append(element)

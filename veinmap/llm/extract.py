@@ -200,7 +200,8 @@ def _texts(e: Element, skip: set[int], blocks: list[list[str]], in_article: bool
         if isinstance(c, str):
             blocks[-1].append(c)
         elif id(c) in skip or is_outside(c):
-            continue
+            if c.tag in BLOCK:
+                blocks.append([])
         elif is_header(c) and c.tag not in HEADINGS:
             # In an article a header has its headings; a page's own header is outside.
             if in_article:
