@@ -161,10 +161,33 @@ def test_driver_and_distributed_walks_agree_on_random_graphs(spark):
         seeds = spark.createDataFrame([("n0", "x"), ("n1", "y")], "id string, `column` string")
         for walk, s in ((graph.closure, seeds.select("id")), (graph.column_closure, seeds)):
             for side in ("upstream", "downstream"):
-                got = [sorted(map(repr, walk(p.edges, s, side, small=n).drop("rank").collect())) for n in (0, 1000)]
+                got = [sorted(map(repr, walk(p.edges, s, side, small=n).collect())) for n in (0, 1000)]
                 assert got[0] == got[1]
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_ranks_are_places_in_breadth_first_order(spark, small):
+    p = project(spark, {k: ([],) for k in ("m0", "m1", "x", "m2", "m3")}, [("node", "m0", "m1", None, None), ("node", "m0", "x", None, None), ("node", "m1", "m2", None, None), ("node", "x", "m3", None, None)])
+    rows = graph.trace(p, "m0", "downstream", small=small)
+    assert sorted((r.rank, r.id) for r in rows.collect()) == [(0, "m1"), (1, "x"), (2, "m2"), (3, "m3")]
+    assert [x.split()[-1] for x in trace_text(rows, "downstream").splitlines()[1:]] == ["m1", "x", "m2", "m3"]
+
+
+def test_walks_that_do_not_end_fail(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_LEVELS", 3)
+    p = project(spark, {k: ([("x",)],) for k in "abcde"}, [("node", a, b, "x", "x") for a, b in zip("abcd", "bcde")])
+    with pytest.raises(graph.TooDeep):
+        graph.trace(p, "a", "downstream", small=0)
+    with pytest.raises(graph.TooDeep):
+        graph.trace_column(p, "a", "x", "downstream", small=0)
+
+
+def test_places_in_layers_count_through(spark):
+    p = project(spark, {k: ([],) for k in "dacb"}, [("origin", "s", "a", None, None)], [("s", "z")])
+    got = sorted((r.layer, r.place, r.kind, r.name) for r in graph.exported_nodes(p).collect())
+    assert got == [(0, 1, "node", "b"), (0, 2, "node", "c"), (0, 3, "node", "d"), (0, 4, "origin", "z"), (1, 1, "node", "a")]
+
+
 def test_targets(spark):
     assert graph.parse_target("m") == ("m", None, "both")
     assert graph.parse_target("+m.c") == ("m", "c", "upstream")

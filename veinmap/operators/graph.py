@@ -3,13 +3,17 @@
 Closures run as frontier loops of joins. Each level is written to the shared
 folder, so plans stay short and lost executors cost one level. Small graphs
 (SMALL edges or fewer, counted first) are walked on the driver with the same
-results. Rows come with their depth and a rank that rises in breadth-first order.
+rows. Rows come with their depth and their rank: their place in breadth-first
+order, from 0, in which a row's successors stand in the order of their edges.
+Rows of kind unresolved have the depth and rank of the column at which the walk
+first ended; the order of all rows is that of depth, then rank.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +78,24 @@ def _oriented(edges: DataFrame, side: str) -> DataFrame:
     return rows.select("edge_idx", F.col(names[0]).alias("at"), F.col(names[1]).alias("at_column"), names[2].alias("kind"), F.col(names[3]).alias("to"), F.col(names[4]).alias("to_column"))
 
 
+def _level(rows: DataFrame, order: str, first: int, name: str) -> tuple[DataFrame, int]:
+    """(rows stored in order, with a rank that counts from first; how many). Ranks come from places in parts and sums over parts, of which there are few."""
+    place = F.monotonically_increasing_id()  # the part in the upper 31 bits, the place in the lower 33
+    stored = materialize(rows.orderBy(order).drop(order).withColumn("place", place), name)
+    parts = sorted(tuple(r) for r in stored.groupBy(F.shiftright("place", 33).alias("part")).count().collect())  # one row per part
+    if not parts:
+        return stored.withColumnRenamed("place", "rank"), 0
+    bases = dict(zip((p for p, _ in parts), accumulate((n for _, n in parts), initial=first)))
+    base = F.lit(first) if len(parts) == 1 else F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in bases.items() for x in kv]), F.shiftright("place", 33))
+    rank = base + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return stored.withColumn("place", rank.cast("long")).withColumnRenamed("place", "rank"), sum(n for _, n in parts)
+
+
+class TooDeep(LineageError):
+    def __init__(self):
+        super().__init__(f"a walk went on for more than {MAX_LEVELS} levels")
+
+
 class _Visited:
     """Levels reached so far, as one relation: their files side by side, rewritten as one when there are many."""
 
@@ -100,16 +122,18 @@ def closure(edges: DataFrame, seeds: DataFrame, side: str, small: int = SMALL) -
     if (few := _few(steps, small)) is not None and (starts := _few(seeds.select("id"), small)) is not None:
         return local(spark, _walk_nodes(few, [x for (x,) in starts]), REACHED)
     steps = materialize(steps, "edges")
-    frontier = materialize(seeds.select(F.lit("node").alias("kind"), "id", F.lit(0).alias("depth"), F.monotonically_increasing_id().alias("rank")).dropDuplicates(["id"]), "frontier")
-    visited = _Visited(frontier)
+    began = materialize(seeds.select("id", F.monotonically_increasing_id().alias("o")), "seeds").groupBy("id").agg(F.min("o").alias("o"))
+    frontier, _ = _level(began.select(F.lit("node").alias("kind"), "id", F.lit(0).alias("depth"), "o"), "o", 0, "frontier")
+    visited, found = _Visited(frontier), 0
     for depth in range(1, MAX_LEVELS):
         reached = frontier.filter("kind = 'node'").join(steps.withColumnRenamed("kind", "to_kind"), F.col("id") == F.col("at")).groupBy(F.col("to_kind").alias("kind"), F.col("to").alias("id")).agg(F.min(F.struct("rank", "edge_idx")).alias("o"))
         fresh = reached.join(visited.all().select("kind", "id"), ["kind", "id"], "left_anti")
-        frontier = materialize(fresh.orderBy("o").select("kind", "id", F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank")), "frontier")
-        if frontier.isEmpty():
-            break
+        frontier, n = _level(fresh.select("kind", "id", F.lit(depth).alias("depth"), "o"), "o", found, "frontier")
+        if not n:
+            return visited.all().filter("depth > 0")
+        found += n
         visited.add(frontier)
-    return visited.all().filter("depth > 0")
+    raise TooDeep
 
 
 def _few(df: DataFrame, most: int) -> list[tuple] | None:
@@ -146,8 +170,9 @@ def column_closure(edges: DataFrame, seeds: DataFrame, side: str, small: int = S
     steps = materialize(steps, "edges")
     nodes = materialize(steps.select(F.col("at").alias("id")).distinct(), "connected")
     named = steps.filter("at_column IS NOT NULL").withColumnRenamed("kind", "to_kind")
-    frontier = materialize(seeds.select(F.lit("node").alias("kind"), "id", "column", F.lit(0).alias("depth"), F.monotonically_increasing_id().alias("rank")).dropDuplicates(["id", "column"]), "frontier")
-    visited, stuck = _Visited(frontier), None
+    began = materialize(seeds.select("id", "column", F.monotonically_increasing_id().alias("o")), "seeds").groupBy("id", "column").agg(F.min("o").alias("o"))
+    frontier, _ = _level(began.select(F.lit("node").alias("kind"), "id", "column", F.lit(0).alias("depth"), "o"), "o", 0, "frontier")
+    visited, stuck, found = _Visited(frontier), None, 0
     key = ["kind", "id", "column"]
     for depth in range(1, MAX_LEVELS):
         here = frontier.filter("kind = 'node'")
@@ -160,10 +185,13 @@ def column_closure(edges: DataFrame, seeds: DataFrame, side: str, small: int = S
             stuck.add(ended)
         reached = here.join(named, on).groupBy(F.col("to_kind").alias("kind"), F.col("to").alias("id"), F.col("to_column").alias("column")).agg(F.min(F.struct("rank", "edge_idx")).alias("o"))
         fresh = reached.join(visited.all().select(*key), key, "left_anti")
-        frontier = materialize(fresh.orderBy("o").select(*key, F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("rank")), "frontier")
-        if frontier.isEmpty():
+        frontier, n = _level(fresh.select(*key, F.lit(depth).alias("depth"), "o"), "o", found, "frontier")
+        if not n:
             break
+        found += n
         visited.add(frontier)
+    else:
+        raise TooDeep
     once = stuck.all().groupBy("id").agg(F.min(F.struct("depth", "rank")).alias("o")).select(F.lit("unresolved").alias("kind"), "id", F.lit(None).cast("string").alias("column"), "o.depth", "o.rank")
     return visited.all().filter("depth > 0").unionByName(once)
 
@@ -174,18 +202,18 @@ def _walk_columns(steps: list[tuple], seeds: list[tuple[str, str]]) -> list[tupl
         connected.add(at)
         if at_column is not None:
             out_of[at, at_column].append((kind, to, to_column))
-    level, out, depth, stuck = list(dict.fromkeys(seeds)), [], 0, {}
-    seen = {("node", *s) for s in level}
+    level, out, depth, stuck = [(rank, *s) for rank, s in enumerate(dict.fromkeys(seeds))], [], 0, {}
+    seen = {("node", node, column) for _, node, column in level}
     while level:
-        for node, column in level:
+        for rank, node, column in level:
             if node in connected and not out_of.get((node, column)):
-                stuck.setdefault(node, depth)
+                stuck.setdefault(node, (depth, rank))
         depth += 1
-        reached = dict.fromkeys(x for at in level for x in out_of.get(at, ()) if x not in seen)
+        reached = dict.fromkeys(x for _, node, column in level for x in out_of.get((node, column), ()) if x not in seen)
         seen |= reached.keys()
-        out += [(*x, depth, len(out) + k) for k, x in enumerate(reached)]
-        level = [(to, column) for kind, to, column in reached if kind == "node"]
-    return out + [("unresolved", node, None, d, k) for k, (node, d) in enumerate(stuck.items())]
+        level = [(rank, to, column) for rank, (kind, to, column) in enumerate(reached, len(out)) if kind == "node"]
+        out += [(*x, depth, rank) for rank, x in enumerate(reached, len(out))]
+    return out + [("unresolved", node, None, d, rank) for node, (d, rank) in stuck.items()]
 
 
 def trace(project: Project, name: str, direction: str = "both", package: str | None = None, small: int = SMALL) -> DataFrame:
@@ -245,5 +273,11 @@ def exported_nodes(project: Project) -> DataFrame:
     placed = layers(project.nodes, project.edges)
     every = project.origins.select(F.lit("origin").alias("kind"), F.col("origin_id").alias("id"), "name", F.lit(0).alias("layer"), F.lit(0).alias("first"))
     every = every.unionByName(project.nodes.join(placed, "node_id").select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "name", "layer", F.lit(1).alias("first")))
-    within = Window.partitionBy("layer").orderBy("name", "first", "id")
-    return every.withColumn("place", F.row_number().over(within)).drop("first")
+    # Sorted in parts of their own; the place in a layer comes from the places in parts and sums over parts, so no layer has to fit in a task.
+    sorted_ = materialize(every.orderBy("layer", "name", "first", "id").withColumn("at", F.monotonically_increasing_id()), "exported")
+    part = F.shiftright("at", 33).alias("part")
+    sizes = sorted_.groupBy("layer", part).agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("layer").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per layer and part
+    bases = sizes.select(F.col("layer").alias("b_layer"), F.col("part").alias("b_part"), "least", before.alias("before"))
+    placed = sorted_.join(bases, (F.col("layer") == F.col("b_layer")) & (F.shiftright("at", 33) == F.col("b_part")))
+    return placed.select("kind", "id", "name", "layer", (F.col("before") + F.col("at") - F.col("least") + 1).cast("int").alias("place"))

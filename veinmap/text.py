@@ -51,7 +51,7 @@ def report_text(report: r.Report, changes: DataFrame, findings: DataFrame, color
 def trace_text(rows: DataFrame, direction: str) -> str:
     """A trace by side: sources, then models, then models where a column could not be followed."""
     kinds = {"origin": 0, "node": 1, "unresolved": 2}
-    found = sorted(rows.collect(), key=lambda x: (kinds[x.kind], x.rank))
+    found = sorted(rows.collect(), key=lambda x: (kinds[x.kind], x.depth, x.rank))
     columned = "column" in rows.columns
     out = []
     for side in ("upstream", "downstream"):
