@@ -27,10 +27,10 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of batches to and from Python workers, unless the session does. Rows alone bound nothing where texts are long: both sides hold a batch whole."""
-    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
-        if name not in spark.conf.getAll:
-            spark.conf.set(name, str(BATCH_BYTES))
+    """Bound the bytes of batches to Python workers, unless the session does. Rows alone bound nothing where texts are long: both sides hold a batch whole."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def give_back() -> None:
