@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sample
+from . import sample, snippets
 from .operators import diffing, graph, report, rules
 from .sources import manifest as man
 
@@ -119,32 +119,36 @@ def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nations(p) -> DataFrame:
-    return p.edges.filter("upstream_kind = 'origin'").select(F.col("downstream_id").alias("id"))
+    return p.edges.filter("upstream_kind = 'origin'").orderBy("edge_idx").select(F.col("downstream_id").alias("id"))
+
+
+def _orders(p) -> DataFrame:
+    return p.nodes.filter("node_id LIKE 'o:%'").orderBy("node_idx").select(F.col("node_id").alias("id"))
 
 
 def graph_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sample.key_graph(spark, sf_dir)
-    return graph.closure(p.edges, _nations(p), "downstream").select("kind", "id", "depth")
+    return graph.closure(p.edges, _nations(p), "downstream").select("kind", "id", "depth", "rank")
 
 
 def graph_downstream_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sample.key_graph(spark, sf_dir)
-    return graph.closure(p.edges, _nations(p), "downstream", small=0).select("kind", "id", "depth")
+    return graph.closure(p.edges, _nations(p), "downstream", small=0).select("kind", "id", "depth", "rank")
 
 
 def graph_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sample.key_graph(spark, sf_dir)
-    return graph.closure(p.edges, p.nodes.filter("node_id LIKE 'o:%'").select(F.col("node_id").alias("id")), "upstream").select("kind", "id", "depth")
+    return graph.closure(p.edges, _orders(p), "upstream").select("kind", "id", "depth", "rank")
 
 
 def graph_columns_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sample.key_graph(spark, sf_dir)
-    return graph.column_closure(p.edges, _nations(p).withColumn("column", F.lit("region")), "downstream").select("kind", "id", "column", "depth")
+    return graph.column_closure(p.edges, _nations(p).withColumn("column", F.lit("region")), "downstream").select("kind", "id", "column", "depth", "rank")
 
 
 def graph_columns_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sample.key_graph(spark, sf_dir)
-    return graph.column_closure(p.edges, p.nodes.filter("node_id LIKE 'o:%'").select(F.col("node_id").alias("id"), F.lit("region").alias("column")), "upstream", small=0).select("kind", "id", "column", "depth")
+    return graph.column_closure(p.edges, _orders(p).withColumn("column", F.lit("region")), "upstream", small=0).select("kind", "id", "column", "depth", "rank")
 
 
 def graph_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,12 +222,40 @@ def run_all_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.execute(spark, sf_dir)["all_ids"]
 
 
+# Small models, a family of constructs each
+
+
+def expression_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippets.sources(spark, snippets.EXPRESSIONS)
+
+
+def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippets.sources(spark, snippets.NAMES)
+
+
+def dialect_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippets.sources(spark, snippets.DIALECTS)
+
+
+def struct_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippets.structs(spark)
+
+
+def join_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippets.joins(spark)
+
+
+def lineage_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippets.targets(spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         relation_catalog, model_dependencies, project_nodes, project_columns, project_edges, trace_column_upstream, trace_column_downstream, trace_column_distributed, trace_model, project_layers, project_out_degrees,
         project_changes, project_findings, project_findings_strict, project_findings_lenient, impacted_models, defer_plan, schema_evolution, project_summary,
         graph_downstream, graph_downstream_distributed, graph_upstream, graph_columns_downstream, graph_columns_upstream, graph_layers, graph_defer_set, graph_out_degrees,
         diff_columns, diff_findings, diff_impacted, diff_summary, diff_schema_evolution, join_alignment, model_schemas, run_dim_customers, run_all_ids,
+        expression_sources, name_resolution, dialect_sources, struct_shapes, join_edits, lineage_targets,
     )
     return {f.__name__: f for f in found}
 
@@ -293,10 +325,13 @@ def _found(preset: dict[str, str]) -> str:
 
 KEY_EDGES = """
 WITH RECURSIVE e AS (
-  SELECT 'origin' AS uk, 'r:' || n_regionkey AS u, 'n:' || n_nationkey AS d, 'r_name' AS uc, 'region' AS dc FROM nation
-  UNION ALL SELECT 'node', 'n:' || c_nationkey, 'c:' || c_custkey, CASE WHEN c_nationkey % 5 <> 0 THEN 'region' END, CASE WHEN c_nationkey % 5 <> 0 THEN 'region' END FROM customer
-  UNION ALL SELECT 'node', 'c:' || o_custkey, 'o:' || o_orderkey, 'region', 'region' FROM orders),
+  SELECT n_nationkey AS idx, 'origin' AS uk, 'r:' || n_regionkey AS u, 'n:' || n_nationkey AS d, 'r_name' AS uc, 'region' AS dc FROM nation
+  UNION ALL SELECT 1099511627776 + c_custkey, 'node', 'n:' || c_nationkey, 'c:' || c_custkey, CASE WHEN c_nationkey % 5 <> 0 THEN 'region' END, CASE WHEN c_nationkey % 5 <> 0 THEN 'region' END FROM customer
+  UNION ALL SELECT 2199023255552 + o_orderkey, 'node', 'c:' || o_custkey, 'o:' || o_orderkey, 'region', 'region' FROM orders),
 """
+#: Places of reached rows, by depth and then by the edges that lead there.
+RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY depth = 0 ORDER BY depth, path) - 1 AS rank FROM m) "
+STUCK = " UNION ALL SELECT 'unresolved', id, NULL, min(depth), min(rank) FROM r WHERE "
 PART_DIFF = """
 WITH o AS (SELECT p_brand AS node, 'p' || p_partkey AS c, ['tinyint','smallint','int','bigint','varchar'][p_size % 5 + 1] AS t FROM part WHERE p_partkey % 11 <> 0),
 n AS (SELECT p_brand AS node, 'p' || p_partkey AS c, ['tinyint','smallint','int','bigint','varchar'][(p_size + CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END) % 5 + 1] AS t FROM part WHERE p_partkey % 7 <> 0),
@@ -340,14 +375,14 @@ def oracle_sql() -> dict[str, str]:
         "defer_plan": _values("id", ("stg_lines",), ("stg_orders",)),
         "schema_evolution": _values("node description", *[("fct_orders", d) for d in ("~ column type changed: quantity (bigint -> int)", "+ column added: ordered_at", "+ struct field added: detail.placed", "- struct field removed: detail.status", "- column removed: status")]),
         "project_summary": _values("models_changed columns_changed breaking warning", (3, 9, 5, 3)),
-        **{k: keep(KEY_EDGES + "w AS (SELECT d AS id, 0 AS depth FROM e WHERE uk = 'origin' UNION SELECT e.d, w.depth + 1 FROM w JOIN e ON e.uk = 'node' AND e.u = w.id) SELECT 'node' AS kind, id, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY id") for k in ("graph_downstream", "graph_downstream_distributed")},
-        "graph_upstream": KEY_EDGES + "w AS (SELECT 'node' AS kind, 'o:' || o_orderkey AS id, 0 AS depth FROM orders UNION SELECT e.uk, e.u, w.depth + 1 FROM w JOIN e ON w.kind = 'node' AND e.d = w.id) SELECT kind, id, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY kind, id",
+        **{k: keep(KEY_EDGES + "w AS (SELECT d AS id, 0 AS depth, [idx] AS path FROM e WHERE uk = 'origin' UNION ALL SELECT e.d, w.depth + 1, list_append(w.path, e.idx) FROM w JOIN e ON e.uk = 'node' AND e.u = w.id), m AS (SELECT id, min(depth) AS depth, min(path) AS path FROM w GROUP BY id), " + RANKED + "SELECT 'node' AS kind, id, depth, rank FROM r WHERE depth > 0") for k in ("graph_downstream", "graph_downstream_distributed")},
+        "graph_upstream": KEY_EDGES + "w AS (SELECT 'node' AS kind, 'o:' || o_orderkey AS id, 0 AS depth, [o_orderkey] AS path FROM orders UNION ALL SELECT e.uk, e.u, w.depth + 1, list_append(w.path, e.idx) FROM w JOIN e ON w.kind = 'node' AND e.d = w.id), m AS (SELECT kind, id, min(depth) AS depth, min(path) AS path FROM w GROUP BY kind, id), " + RANKED + "SELECT kind, id, depth, rank FROM r WHERE depth > 0",
         "graph_columns_downstream": KEY_EDGES
-        + "w AS (SELECT d AS id, 'region' AS c, 0 AS depth FROM e WHERE uk = 'origin' UNION SELECT e.d, e.dc, w.depth + 1 FROM w JOIN e ON e.uk = 'node' AND e.u = w.id AND e.uc = w.c), m AS (SELECT id, c, min(depth) AS depth FROM w GROUP BY id, c) "
-        "SELECT 'node' AS kind, id, c AS \"column\", depth FROM m WHERE depth > 0 UNION ALL SELECT 'unresolved', id, NULL, min(depth) FROM m WHERE EXISTS (SELECT 1 FROM e WHERE e.uk = 'node' AND e.u = m.id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.uk = 'node' AND e.u = m.id AND e.uc = m.c) GROUP BY id",
+        + "w AS (SELECT d AS id, 'region' AS c, 0 AS depth, [idx] AS path FROM e WHERE uk = 'origin' UNION ALL SELECT e.d, e.dc, w.depth + 1, list_append(w.path, e.idx) FROM w JOIN e ON e.uk = 'node' AND e.u = w.id AND e.uc = w.c), m AS (SELECT id, c, min(depth) AS depth, min(path) AS path FROM w GROUP BY id, c), "
+        + RANKED + "SELECT 'node' AS kind, id, c AS \"column\", depth, rank FROM r WHERE depth > 0" + STUCK + "EXISTS (SELECT 1 FROM e WHERE e.uk = 'node' AND e.u = r.id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.uk = 'node' AND e.u = r.id AND e.uc = r.c) GROUP BY id",
         "graph_columns_upstream": KEY_EDGES
-        + "w AS (SELECT 'node' AS kind, 'o:' || o_orderkey AS id, 'region' AS c, 0 AS depth FROM orders UNION SELECT e.uk, e.u, e.uc, w.depth + 1 FROM w JOIN e ON w.kind = 'node' AND e.d = w.id AND e.dc = w.c), m AS (SELECT kind, id, c, min(depth) AS depth FROM w GROUP BY kind, id, c) "
-        "SELECT kind, id, c AS \"column\", depth FROM m WHERE depth > 0 UNION ALL SELECT 'unresolved', id, NULL, min(depth) FROM m WHERE kind = 'node' AND EXISTS (SELECT 1 FROM e WHERE e.d = m.id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.d = m.id AND e.dc = m.c) GROUP BY id",
+        + "w AS (SELECT 'node' AS kind, 'o:' || o_orderkey AS id, 'region' AS c, 0 AS depth, [o_orderkey] AS path FROM orders UNION ALL SELECT e.uk, e.u, e.uc, w.depth + 1, list_append(w.path, e.idx) FROM w JOIN e ON w.kind = 'node' AND e.d = w.id AND e.dc = w.c), m AS (SELECT kind, id, c, min(depth) AS depth, min(path) AS path FROM w GROUP BY kind, id, c), "
+        + RANKED + "SELECT kind, id, c AS \"column\", depth, rank FROM r WHERE depth > 0" + STUCK + "kind = 'node' AND EXISTS (SELECT 1 FROM e WHERE e.d = r.id) AND NOT EXISTS (SELECT 1 FROM e WHERE e.d = r.id AND e.dc = r.c) GROUP BY id",
         "graph_layers": "SELECT 'n:' || n_nationkey AS node_id, 1 AS layer FROM nation UNION ALL SELECT 'c:' || c_custkey, 2 FROM customer UNION ALL SELECT 'o:' || o_orderkey, 3 FROM orders",
         "graph_defer_set": "SELECT DISTINCT 'c:' || o_custkey AS id FROM orders UNION SELECT 'n:' || c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
         "graph_out_degrees": KEY_EDGES + "x AS (SELECT 'origin' AS kind, 'r:' || r_regionkey AS id FROM region UNION ALL SELECT 'node', 'n:' || n_nationkey FROM nation UNION ALL SELECT 'node', 'c:' || c_custkey FROM customer UNION ALL SELECT 'node', 'o:' || o_orderkey FROM orders) SELECT x.kind, x.id, count(e.u) AS consumers FROM x LEFT JOIN e ON e.uk = x.kind AND e.u = x.id GROUP BY x.kind, x.id",
@@ -358,6 +393,12 @@ def oracle_sql() -> dict[str, str]:
         "diff_schema_evolution": PART_DIFF
         + "SELECT node, CASE type WHEN 'column_added' THEN '+ column added: ' || \"column\" WHEN 'column_removed' THEN '- column removed: ' || \"column\" ELSE '~ column type changed: ' || \"column\" || ' (' || from_type || ' -> ' || to_type || ')' END AS description FROM d WHERE coalesce(TRY_CAST(regexp_extract(node, '(\\d+)', 1) AS BIGINT), 0) % 2 = 0",
         "model_schemas": _values("node_id ordinal column_name as_executed", *[(m, k, c, True) for m, cs in COLUMNS.items() for k, c in enumerate(cs)]),
+        "expression_sources": _values("case column sources", *snippets.source_rows(snippets.EXPRESSIONS)),
+        "name_resolution": _values("case column sources", *snippets.source_rows(snippets.NAMES)),
+        "dialect_sources": _values("case column sources", *snippets.source_rows(snippets.DIALECTS)),
+        "struct_shapes": _values("expression fields", *snippets.STRUCTS.items()),
+        "join_edits": _values("node position from_kind to_kind", *[(n, *c) for n, (_, _, changes) in snippets.JOINS.items() for c in changes]),
+        "lineage_targets": _values("target model column direction", *[(t, *x) for t, x in snippets.TARGETS.items()]),
         "run_dim_customers": sample.execution_sql("dim_customers"),
         "run_all_ids": "SELECT c_custkey AS id FROM customer UNION ALL SELECT o_orderkey FROM orders",
     }
