@@ -104,6 +104,48 @@ def test_baseline_from_git(spark, capsys, shop):
     assert b"prunable" not in subprocess.run(["git", "worktree", "list", "--porcelain"], cwd=shop, capture_output=True).stdout
 
 
+def test_extra_arguments_and_the_log(spark, capsys, shop):
+    """Extra arguments reach deps and compile of the base; what the tool prints is in the log, also when it fails."""
+    tool = shop.parent / "dbt.sh"
+    tool.write_text('#!/bin/sh\n[ "$1" = deps ] || { mkdir -p target && cp compiled.json target/manifest.json; }\necho "ran $*"\necho "warned" >&2\n')
+    tool.chmod(tool.stat().st_mode | stat.S_IEXEC)
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", *a], cwd=shop, check=True, capture_output=True)
+    git("init", "-q", "-b", "master")
+    (shop / ".gitignore").write_text("target/\n")
+    (shop / "packages.yml").write_text("packages: []\n")
+    (shop / "compiled.json").write_text(sample.manifest_json())
+    git("add", "-A")
+    git("commit", "-qm", "old")
+    os.utime(shop / "target" / "manifest.json")
+    assert run(spark, capsys, "check", "--project-dir", shop, "--dbt-command", tool, "--dbt-arg=--profiles-dir", "--dbt-arg=p")[0] == 1
+    log = next((shop / "target" / "veinmap" / "logs").iterdir())
+    said = log.read_text()
+    assert "$ dbt deps (in " in said and "ran deps --profiles-dir p" in said and "ran compile --profiles-dir p" in said and "warned" in said
+    (shop / "veinmap.yml").write_text(f"dbt-command: {tool}\ndbt-args: --threads 3\n")
+    assert run(spark, capsys, "lineage", "stg_orders", "--text", "--compile", "--project-dir", shop)[0] == 0
+    assert "ran compile\n" in log.read_text()
+    tool.write_text("#!/bin/sh\necho went wrong\nexit 3\n")
+    assert run(spark, capsys, "lineage", "stg_orders", "--text", "--compile", "--project-dir", shop)[0] == 2
+    assert "went wrong" in log.read_text()
+
+
+def test_lineage_export_that_cannot_be_written_fails(spark, capsys, shop):
+    (shop / "target" / "veinmap" / "full_lineage.json").mkdir(parents=True)
+    (shop / "target" / "veinmap" / "full_lineage.json" / "x").write_text("")
+    code, _, err = run(spark, capsys, "lineage", "stg_orders", "--text", "--project-dir", shop)
+    assert code == 2 and err.startswith("error: ")
+
+
+def test_live_checks_know_their_warehouses(spark, capsys, shop):
+    state = shop.parent / "old.json"
+    manifest = json.loads((shop / "target" / "manifest.json").read_text())
+    for adapter, word in (("oracle", "'oracle'"), (None, "does not say")):
+        manifest.setdefault("metadata", {})["adapter_type"] = adapter
+        (shop / "target" / "manifest.json").write_text(json.dumps(manifest))
+        code, out, err = run(spark, capsys, "diff", "--project-dir", shop, "--state", state, "--check-relations", "--dbt-command", "/no/such/tool")
+        assert code == 0 and word in err and "Schema evolution" in out
+
+
 def test_addons(tmp_path, monkeypatch):
     program = tmp_path / "veinmap-hello"
     program.write_text('#!/bin/sh\nexit "$1"\n')

@@ -24,7 +24,7 @@ from .sources import manifest as man
 from .sources import sinks, warehouse
 
 COMMANDS = ("check", "diff", "lineage")
-FAILURES = (man.ManifestError, conf.ConfigError, base.ToolError, base.GitError, base.StaleManifest, graph.LineageError)
+FAILURES = (man.ManifestError, conf.ConfigError, base.ToolError, base.GitError, base.StaleManifest, graph.LineageError, OSError)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -66,6 +66,10 @@ def _say(out: str, project_dir: Path) -> None:
     sinks.best_effort("the log", lambda: sinks.append_log(project_dir, out))
 
 
+def _logger(project_dir: Path):
+    return lambda said: sinks.best_effort("the log", lambda: sinks.append_log(project_dir, said))
+
+
 def _current(project_dir: Path) -> Path:
     return project_dir / "target" / "manifest.json"
 
@@ -81,8 +85,7 @@ def compare(spark: SparkSession, args: argparse.Namespace) -> int:
     against, command = args.against or config.against or "master", args.dbt_command or config.dbt_command or "dbt"
     state = args.state
     if state is None:
-        state, said = base.baseline_manifest(d, against, command, extra)
-        sinks.best_effort("the log", lambda: sinks.append_log(d, said))
+        state = base.baseline_manifest(d, against, command, extra, _logger(d))
     older = build(spark, man.read_manifest(spark, str(state))).cached()
     manifest = man.read_manifest(spark, str(_current(d)))
     current = build(spark, manifest).cached()
@@ -91,7 +94,10 @@ def compare(spark: SparkSession, args: argparse.Namespace) -> int:
     checks = None
     if args.check_relations:
         nodes = [r.node for r in rep.schema_evolution(changes, current.nodes).select("node").distinct().collect()]
-        checks, failed = warehouse.check_relations(man.relation_identities(manifest), nodes, warehouse.dbt_macro(d, command, extra))
+        if missing := warehouse.unsupported(man.adapter_type(manifest)):
+            failed = [f"--check-relations: {missing}; relations were not looked up"]
+        else:
+            checks, failed = warehouse.check_relations(man.relation_identities(manifest), nodes, warehouse.dbt_macro(d, command, extra))
         for x in failed:
             print(f"warning: {x}", file=sys.stderr)
     report = rep.build_report(changes, findings, current, args.defer_target or config.defer_target, args.defer_state or config.defer_state, base.is_stale(d, against), checks)
@@ -113,10 +119,10 @@ def lineage(spark: SparkSession, args: argparse.Namespace) -> int:
     config = conf.load(d)
     base.resolve_tool(d, config.tool)
     if args.compile:
-        base.dbt("compile", d, config.dbt_command or "dbt", conf.split_words(config.dbt_args, "dbt-args") if config.dbt_args else [])
+        base.dbt("compile", d, config.dbt_command or "dbt", log=_logger(d))
     project = build(spark, man.read_manifest(spark, str(_current(d)))).cached()
     full = sinks.full_lineage(project)
-    sinks.best_effort("the lineage export", lambda: sinks.write_whole(sinks.target(d) / "full_lineage.json", json.dumps(full)))
+    sinks.write_whole(sinks.target(d) / "full_lineage.json", json.dumps(full))
     parsed = graph.parse_target(args.target) if args.target else None
     if args.text and parsed is None:
         raise graph.LineageError("--text needs a target")

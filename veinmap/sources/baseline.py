@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import subprocess
 import tempfile
+from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -53,12 +54,13 @@ def _run(args: list[str], cwd: Path, what: str) -> subprocess.CompletedProcess:
         raise ToolError(f"could not run {what}: {e}") from e
 
 
-def dbt(action: str, project_dir: Path, command: str = "dbt", extra: list[str] = ()) -> str:
-    """Run dbt compile or dbt deps; returns its output."""
+def dbt(action: str, project_dir: Path, command: str = "dbt", extra: list[str] = (), log: Callable[[str], object] = lambda said: None) -> str:
+    """Run dbt compile or dbt deps; returns its output. log gets what it printed, whether it failed or not, as one block."""
     words = split_words(command, "dbt command")
     if not words:
         raise ToolError(f"could not run {command!r}: command not found")
     done = _run([*words, action, *extra], project_dir, repr(command))
+    log(f"$ dbt {action} (in {project_dir})\n{done.stdout}\n{done.stderr}\n")
     if done.returncode:
         raise ToolError(f"dbt {action} failed:\n{done.stdout}{done.stderr}")
     return done.stdout + done.stderr
@@ -101,17 +103,16 @@ def worktree(project_dir: Path, commit: str):
         shutil.rmtree(place, ignore_errors=True)
 
 
-def baseline_manifest(project_dir: Path, against: str, command: str = "dbt", extra: list[str] = ()) -> tuple[Path, str]:
-    """(a copy of the merge base's manifest, under target/veinmap; what the tool printed)."""
-    said = ""
+def baseline_manifest(project_dir: Path, against: str, command: str = "dbt", extra: list[str] = (), log: Callable[[str], object] = lambda said: None) -> Path:
+    """A copy of the merge base's manifest, under target/veinmap. Packages are fetched and the base compiled with the same extra arguments."""
     with worktree(project_dir, merge_base(project_dir, against)) as tree:
         if any((tree / f).exists() for f in ("packages.yml", "dependencies.yml")):
-            said += dbt("deps", tree, command)
-        said += dbt("compile", tree, command, list(extra))
+            dbt("deps", tree, command, list(extra), log)
+        dbt("compile", tree, command, list(extra), log)
         kept = Path(project_dir) / "target" / "veinmap" / "baseline_manifest.json"
         kept.parent.mkdir(parents=True, exist_ok=True)
         shutil.copyfile(tree / "target" / "manifest.json", kept)
-    return kept, said
+    return kept
 
 
 def is_stale(project_dir: Path, against: str) -> bool:
@@ -130,4 +131,4 @@ def check_fresh(project_dir: Path, manifest: Path) -> None:
     if newest is None or not Path(manifest).exists():
         return
     if newest > Path(manifest).stat().st_mtime_ns:
-        raise StaleManifest(f"{manifest} looks stale: a dbt source file under {project_dir} was modified after it was compiled. Run `dbt compile` in {project_dir} and try again, or pass --allow-stale-manifest to skip this check.")
+        raise StaleManifest(f"{manifest} looks stale: files of {project_dir} have changed since. Compile the project anew, or go on with --allow-stale-manifest.")

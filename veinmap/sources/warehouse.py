@@ -66,6 +66,13 @@ def dbt_macro(project_dir: Path, command: str = "dbt", extra: list[str] = ()) ->
     return exists
 
 
+def unsupported(adapter_type: str | None) -> str | None:
+    """Why relations of such a warehouse cannot be looked up; None where they can."""
+    if adapter_type is None:
+        return "the manifest does not say which warehouse it is for"
+    return None if adapter_type in ADAPTERS else f"no lookups in {adapter_type!r} warehouses"
+
+
 def check_relations(identities: DataFrame, nodes: list[str], lookup: Lookup) -> tuple[DataFrame, list[str]]:
     """((node, present) for the nodes, and what failed). A failed or impossible look leaves present NULL. nodes: those of a report."""
     spark = identities.sparkSession
