@@ -22,6 +22,7 @@ from .sources import baseline as base
 from .sources import config as conf
 from .sources import manifest as man
 from .sources import sinks, warehouse
+from .storage import hold, release
 
 COMMANDS = ("check", "diff", "lineage")
 FAILURES = (man.ManifestError, conf.ConfigError, base.ToolError, base.GitError, base.StaleManifest, graph.LineageError, OSError)
@@ -89,8 +90,8 @@ def compare(spark: SparkSession, args: argparse.Namespace) -> int:
     older = build(spark, man.read_manifest(spark, str(state))).cached()
     manifest = man.read_manifest(spark, str(_current(d)))
     current = build(spark, manifest).cached()
-    changes = diff(older, current).cache()
-    findings = evaluate(older.edges, changes, config.severities()).cache()
+    changes = hold(diff(older, current))
+    findings = hold(evaluate(older.edges, changes, config.severities()))
     checks = None
     if args.check_relations:
         nodes = [r.node for r in rep.schema_evolution(changes, current.nodes).select("node").distinct().collect()]
@@ -160,3 +161,5 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except FAILURES as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    finally:
+        release()

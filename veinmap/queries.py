@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import sample, snippets
 from .operators import diffing, graph, report, rules
 from .sources import manifest as man
+from .storage import hold, release
 
 
 def _short(c: str):
@@ -71,9 +72,10 @@ def project_out_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, preset: str = "default"):
+    release()  # what earlier queries held
     old, new = sample.project(spark), sample.project(spark, sample.NEW)
-    changes = diffing.diff(old, new).cache()
-    return new, changes, rules.evaluate(old.edges, changes, rules.severities(preset)).cache()
+    changes = hold(diffing.diff(old, new))
+    return new, changes, hold(rules.evaluate(old.edges, changes, rules.severities(preset)))
 
 
 def project_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..storage import hold
 
 
 class ManifestError(Exception):
@@ -17,7 +18,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     size = lambda c, test: F.coalesce(F.size(F.filter(F.map_values(c), test)), F.lit(0))
     lacks = size("nodes", lambda n: n["unique_id"].isNull() | n["name"].isNull() | n["resource_type"].isNull()) + size("sources", lambda n: n["unique_id"].isNull() | n["name"].isNull())
     try:
-        df = spark.read.schema(schemas.MANIFEST).option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True).cache()
+        df = hold(spark.read.schema(schemas.MANIFEST).option("columnNameOfCorruptRecord", "_broken").json(path, multiLine=True))
         found = df.agg(F.count("*").alias("rows"), F.count("_broken").alias("broken"), F.sum(lacks).alias("lacking")).first()
     except Exception as e:  # Spark reports missing and unreadable files by several classes
         raise ManifestError(f"could not read {path}: {str(e).splitlines()[0]}") from e

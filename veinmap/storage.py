@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _written: list[str] = []
+_held: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +53,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """df, cached until release()."""
+    _held.append(df.cache())
+    return _held[-1]
+
+
+def release() -> None:
+    """Let go of what hold() keeps. What is still in use is worked out again; files that have changed since are read anew."""
+    while _held:
+        _held.pop().unpersist()
+
+
 def local(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """Rows held by the driver as a local relation: its size is known to the planner, which then need not shuffle it."""
     import pyarrow as pa
