@@ -36,12 +36,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def discard(spark: SparkSession) -> int:
-    """Remove what this process wrote to the shared folder; for sessions that run long, once results have been read. Returns how many paths were there."""
-    gone = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many paths this process has taken in the shared folder and not discarded."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Remove what this process wrote to the shared folder since written() was so many, but for paths that hold one of the names in keep; for what has been read. Returns how many paths were there."""
+    gone, kept = 0, [p for p in _written[since:] if any(f"/{k}-" in p for k in keep)]
+    for name in [p for p in _written[since:] if p not in kept]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[since:] = kept
     return gone
 
 
