@@ -75,3 +75,30 @@ def test_names_are_fresh(spark):
 def test_every_operator_has_one_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_pipeline_over_odd_documents_and_an_empty_table(spark, tmp_path):
+    from tests.llm.fixtures import benchmark, documents, empty, labels, sentences
+
+    plain = [" ".join(sentences(5, seed=k)) for k in range(70, 80)]
+    for name, docs in (("odd", documents(spark).unionByName(documents(spark, plain).filter("lang = 'en' AND doc_id IS NOT NULL"))), ("none", empty(documents(spark)))):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        labels(spark).write.parquet(f"{d}/labels.parquet")
+        benchmark(spark).write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d).collect()
+        assert (len(got) > 5) == (name == "odd")
+        rows = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, d)
+            assert out.columns == rows.columns and (out.count() > 0 or name == "none")
+        starts = sorted((r.start, r.n_tokens) for r in got)
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_intermediate_stages_are_discarded(spark):
+    from veinmap import storage
+
+    before = storage.written()
+    out = corpus_pipeline.run(spark, SF)
+    assert storage.written() - before == 1 and out.count() > 0

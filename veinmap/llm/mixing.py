@@ -118,7 +118,13 @@ def taken(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
-    """The mixed documents themselves, with the columns of docs: each document as often as the mix takes it."""
+    """The mixed documents themselves, with the columns of docs: each document as often as the mix takes it.
+
+    That is the whole repetitions of its source, and one more below the source's
+    cut; null and empty texts, of size 0, follow the same rule. Rows that repeat an
+    id of a source share the decision; a null source is a source; an empty table
+    gives an empty result.
+    """
     narrow = materialize(sized(docs, seed), "mix-sizes")
     p_source, h, again = (fresh(docs, x) for x in ("_mix_source", "_mix_h", "_mix_again"))
     plan = mix_plan(narrow, **options).select(F.col("source").alias(p_source), "whole", "cut")
