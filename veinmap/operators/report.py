@@ -32,6 +32,7 @@ def impacted_models(findings: DataFrame) -> DataFrame:
 def describe(change: str | None = None) -> Column:
     """One line about a change."""
     c = F.col
+    # The phrases, which readers of reports know.
     return (
         F.when(c("type") == "column_added", F.format_string("+ column added: %s", "column"))
         .when(c("type") == "column_removed", F.format_string("- column removed: %s", "column"))
@@ -46,6 +47,7 @@ def describe(change: str | None = None) -> Column:
 def describe_impact() -> Column:
     """One line about a finding's impact."""
     c = F.col
+    # The phrases, as above.
     return (
         F.when(c("rule") == "column-removed-with-active-references", F.format_string("%s removed from model %s breaks reference via %s", "column", "node", "reached_column"))
         .when(c("rule") == "column-type-narrowed", F.format_string("%s type narrowed from %s to %s", "column", "from_type", "to_type"))
