@@ -157,6 +157,30 @@ def test_addons(tmp_path, monkeypatch):
     assert cli.addon(["check"]) is None and cli.addon(["nothing"]) is None and cli.addon([]) is None
 
 
+def test_example_addon(tmp_path, monkeypatch, capfd):
+    from pathlib import Path
+
+    monkeypatch.setenv("PATH", f"{Path(cli.__file__).parent.parent / 'examples'}:{os.environ['PATH']}")
+    assert cli.addon(["hello", "--project-dir", str(tmp_path)]) == 2
+    (tmp_path / "target" / "veinmap").mkdir(parents=True)
+    node = lambda i, kind: {"id": i, "name": i, "kind": kind, "layer": 0, "columns": []}
+    graph = {"nodes": [node("s", "origin"), node("a", "node"), node("b", "node")], "edges": [{"upstream": "s", "downstream": "a"}, {"upstream": "a", "downstream": "b"}, {"upstream": "b", "downstream": "a"}]}
+    (tmp_path / "target" / "veinmap" / "full_lineage.json").write_text(json.dumps(graph))
+    assert cli.addon(["hello", "--project-dir", str(tmp_path)]) == 0
+    assert "origin s: 2 downstream" in capfd.readouterr().out
+    assert json.loads((tmp_path / "target" / "veinmap" / "hello.json").read_text()) == {"nodes": 3, "edges": 3, "downstream": {"s": 2, "a": 1, "b": 1}}
+
+
+def test_page_holds_the_graph():
+    from veinmap.sources.sinks import lineage_page
+
+    graph = {"nodes": [{"id": "a</script>", "name": "a", "kind": "node", "layer": 1, "columns": []}], "edges": []}
+    page = lineage_page(graph, "a</script>", "c", "upstream")
+    assert page.count("</script>") == 2 and "a&lt;/script&gt;" in page.split("</title>")[0]
+    data = page.split('id="data">')[1].split("</script>")[0]
+    assert json.loads(data) == graph | {"initial_target": "a</script>", "initial_column": "c", "initial_direction": "upstream"}
+
+
 def test_manifest(spark, tmp_path):
     def read(value):
         path = tmp_path / f"{abs(hash(str(value)))}.json"

@@ -72,7 +72,12 @@ def html_path(project_dir: Path, parsed: tuple[str, str | None, str] | None, pac
 
 
 def lineage_page(graph: dict, target_id: str | None = None, column: str | None = None, direction: str = "both") -> str:
-    """A page of its own with the graph's data and a plain reader: search, select, upstream and downstream lists."""
+    """A page of its own with the graph's data: layers drawn side by side, search, and a panel for the node or column selected.
+
+    A target restricts the page to what it reaches on the sides asked for, until
+    all is shown. Columns are followed as in a trace: a column that no edge of its
+    node names is marked unresolved there.
+    """
     data = json.dumps(graph | _given(initial_target=target_id, initial_column=column, initial_direction=direction if target_id else None)).replace("</", "<\\/")
     title = html.escape(target_id or "Lineage")
     return PAGE.replace("@TITLE@", title).replace("@DATA@", data)
@@ -80,42 +85,102 @@ def lineage_page(graph: dict, target_id: str | None = None, column: str | None =
 
 PAGE = """<!DOCTYPE html>
 <html lang="en"><head><meta charset="utf-8"><title>@TITLE@</title>
-<style>body{font:14px sans-serif;display:flex;gap:2em}ul{list-style:none;padding:0}li{cursor:pointer}li.on{font-weight:bold}h3{margin:.5em 0}</style></head>
-<body><div><input id="find" placeholder="model or model.column"><div id="layers"></div></div><div id="side"></div>
+<style>
+body{font:14px sans-serif;margin:0;display:flex;height:100vh}#left{flex:1;overflow:auto;padding:1em}#side{width:24em;overflow:auto;padding:1em;border-left:1px solid #ccc}
+ul{list-style:none;padding:0}li{cursor:pointer}h3{margin:.5em 0}rect{fill:#eef;stroke:#88a}g.origin rect{fill:#efe}g.on rect{stroke-width:3}g.dim,path.dim{opacity:.2}path{fill:none;stroke:#99a}path.on{stroke:#226;stroke-width:2}text{font-size:12px}
+</style></head>
+<body><div id="left"><input id="find" placeholder="model or model.column"> <button id="all">show all</button><div><svg id="map" xmlns="http://www.w3.org/2000/svg"></svg></div></div><div id="side"></div>
 <script type="application/json" id="data">@DATA@</script>
 <script>
+'use strict';
 const g = JSON.parse(document.getElementById('data').textContent), byId = new Map(g.nodes.map(n => [n.id, n]));
-function reach(id, column, up) {
-  const seen = new Set([id + '\\n' + (column || '')]), todo = [[id, column]], out = [];
-  while (todo.length) {
-    const [at, c] = todo.shift();
-    for (const e of g.edges) {
-      if ((up ? e.downstream : e.upstream) !== at) continue;
-      const here = up ? e.downstream_column : e.upstream_column, there = up ? e.upstream_column : e.downstream_column;
-      if (column && here !== c) continue;
-      const to = up ? e.upstream : e.downstream, key = to + '\\n' + (column ? there : '');
-      if (!seen.has(key)) { seen.add(key); out.push(column ? to + '.' + there : to); todo.push([to, column ? there : undefined]); }
+// Edges by where they start, on both sides: from each to its neighbours.
+const sides = {up: new Map(), down: new Map()};
+for (const e of g.edges) {
+  const add = (m, at, to, here, there) => { if (!m.has(at)) m.set(at, []); m.get(at).push({to, here, there}); };
+  add(sides.up, e.downstream, e.upstream, e.downstream_column, e.upstream_column);
+  add(sides.down, e.upstream, e.downstream, e.upstream_column, e.downstream_column);
+}
+// What a node, or a column of it, reaches on a side: [{id, column, unresolved}] in breadth-first order.
+function reach(id, column, side) {
+  const key = (i, c) => JSON.stringify([i, c === undefined ? null : c]), seen = new Set([key(id, column)]), out = [], stuck = new Set(), todo = [[id, column]];
+  for (let k = 0; k < todo.length; k++) {
+    const [at, c] = todo[k], every = sides[side].get(at) || [], edges = column === undefined ? every : every.filter(e => e.here !== undefined && e.here === c);
+    if (column !== undefined && every.length && !edges.length && !stuck.has(at)) { stuck.add(at); out.push({id: at, unresolved: true}); }
+    for (const e of edges) {
+      const there = column === undefined ? undefined : e.there;
+      if (seen.has(key(e.to, there))) continue;
+      seen.add(key(e.to, there));
+      out.push({id: e.to, column: there});
+      todo.push([e.to, there]);
     }
   }
   return out;
 }
-function list(title, items) { const d = document.createElement('div'); d.innerHTML = '<h3></h3><ul></ul>'; d.firstChild.textContent = title; for (const x of items) { const li = document.createElement('li'); li.textContent = x; d.lastChild.append(li); } return d; }
-function select(id, column) {
-  const n = byId.get(id), side = document.getElementById('side'); side.replaceChildren(); if (!n) return;
-  side.append(list(column ? id + '.' + column : id, [])); const cols = list('Columns', n.columns.map(c => c.name)); side.append(cols);
-  cols.querySelectorAll('li').forEach(li => li.onclick = () => select(id, li.textContent));
-  const d = g.initial_direction || 'both';
-  if (d !== 'downstream') side.append(list('Upstream', reach(id, column, true)));
-  if (d !== 'upstream') side.append(list('Downstream', reach(id, column, false)));
+const label = x => x.id + (x.unresolved ? ' (unresolved)' : x.column === undefined ? '' : '.' + x.column);
+let scope = null, chosen = null, sorted = false, filter = '';
+const make = (tag, attributes, parent, ns) => { const x = ns ? document.createElementNS('http://www.w3.org/2000/svg', tag) : document.createElement(tag); for (const k in attributes) x.setAttribute(k, attributes[k]); if (parent) parent.append(x); return x; };
+// Layers are columns of boxes; a node stands where the mean of its upstream neighbours stands, as far as its layer has room.
+function layout(nodes) {
+  const layers = new Map(), place = new Map();
+  for (const n of nodes) { if (!layers.has(n.layer)) layers.set(n.layer, []); layers.get(n.layer).push(n); }
+  [...layers.keys()].sort((a, b) => a - b).forEach((layer, x) => {
+    const mean = n => { const ys = (sides.up.get(n.id) || []).filter(e => place.has(e.to)).map(e => place.get(e.to).row); return ys.length ? ys.reduce((a, b) => a + b, 0) / ys.length : 0; };
+    layers.get(layer).map((n, k) => [mean(n), k, n]).sort((a, b) => a[0] - b[0] || a[1] - b[1]).forEach(([, , n], row) => place.set(n.id, {x: 20 + x * 260, y: 20 + row * 44, row}));
+  });
+  return place;
 }
-function draw(text) {
-  const [m, c] = text.toLowerCase().split('.', 2), box = document.getElementById('layers'); box.replaceChildren();
-  for (const layer of [...new Set(g.nodes.map(n => n.layer))].sort((a, b) => a - b)) {
-    const ns = g.nodes.filter(n => n.layer === layer && n.name.toLowerCase().includes(m) && (!c || n.columns.some(x => x.name.toLowerCase().includes(c))));
-    const part = list('Layer ' + layer, ns.map(n => n.name)); part.querySelectorAll('li').forEach((li, k) => li.onclick = () => select(ns[k].id)); if (ns.length) box.append(part);
+function draw() {
+  const [model, column] = document.getElementById('find').value.toLowerCase().split('.', 2), map = document.getElementById('map');
+  const found = n => n.name.toLowerCase().includes(model) && (!column || n.columns.some(c => c.name.toLowerCase().includes(column)));
+  const nodes = g.nodes.filter(n => (!scope || scope.has(n.id)) && found(n)), place = layout(nodes), related = new Set();
+  if (chosen) { related.add(chosen.id); for (const side of ['up', 'down']) for (const x of reach(chosen.id, chosen.column, side)) related.add(x.id); }
+  map.replaceChildren();
+  map.setAttribute('width', 300 + Math.max(0, ...[...place.values()].map(p => p.x)));
+  map.setAttribute('height', 80 + Math.max(0, ...[...place.values()].map(p => p.y)));
+  const drawn = new Set();
+  for (const e of g.edges) {
+    const a = place.get(e.upstream), b = place.get(e.downstream), key = e.upstream + '\\n' + e.downstream;
+    if (!a || !b || drawn.has(key)) continue;
+    drawn.add(key);
+    const both = related.has(e.upstream) && related.has(e.downstream);
+    make('path', {d: `M${a.x + 200},${a.y + 15} C${a.x + 230},${a.y + 15} ${b.x - 30},${b.y + 15} ${b.x},${b.y + 15}`, class: !chosen ? '' : both ? 'on' : 'dim'}, map, true);
+  }
+  for (const n of nodes) {
+    const p = place.get(n.id), box = make('g', {class: n.kind + (!chosen ? '' : n.id === chosen.id ? ' on' : related.has(n.id) ? '' : ' dim'), transform: `translate(${p.x},${p.y})`}, map, true);
+    make('rect', {width: 200, height: 30, rx: 4}, box, true);
+    make('text', {x: 8, y: 20}, box, true).textContent = n.name.length > 28 ? n.name.slice(0, 27) + '\u2026' : n.name;
+    make('title', {}, box, true).textContent = n.id;
+    box.onclick = () => select(n.id);
   }
 }
-document.getElementById('find').oninput = e => draw(e.target.value); draw(''); if (g.initial_target) select(g.initial_target, g.initial_column);
+function list(title, items, click) {
+  const side = document.getElementById('side'); make('h3', {}, side).textContent = title;
+  const ul = make('ul', {}, side);
+  for (const x of items) { const li = make('li', {}, ul); li.textContent = x.text; li.onclick = () => click(x); }
+}
+function panel() {
+  const side = document.getElementById('side'); side.replaceChildren();
+  const n = chosen && byId.get(chosen.id); if (!n) return;
+  make('h2', {}, side).textContent = label(chosen);
+  const find = make('input', {placeholder: 'filter columns'}, side), order = make('button', {}, side);
+  find.value = filter; order.textContent = sorted ? 'in order' : 'by name';
+  find.onchange = () => { filter = find.value; panel(); };
+  order.onclick = () => { sorted = !sorted; panel(); };
+  const columns = n.columns.filter(c => c.name.toLowerCase().includes(filter.toLowerCase()));
+  if (sorted) columns.sort((a, b) => a.name < b.name ? -1 : a.name > b.name ? 1 : 0);
+  list('Columns', columns.map(c => ({text: c.name + (c.data_type ? ' ' + c.data_type : '') + (c.expression ? ' = ' + c.expression : ''), name: c.name})), x => select(n.id, x.name));
+  for (const [name, way] of [['Upstream', 'up'], ['Downstream', 'down']]) list(name, reach(chosen.id, chosen.column, way).map(x => ({...x, text: label(x)})), x => select(x.id, x.column));
+}
+function select(id, column) { chosen = {id, column}; panel(); draw(); }
+document.getElementById('find').oninput = draw;
+document.getElementById('all').onclick = () => { scope = null; draw(); };
+if (g.initial_target) {
+  const wanted = {upstream: ['up'], downstream: ['down']}[g.initial_direction] || ['up', 'down'];
+  scope = new Set([g.initial_target]);
+  for (const way of wanted) for (const x of reach(g.initial_target, g.initial_column, way)) scope.add(x.id);
+  select(g.initial_target, g.initial_column);
+} else draw();
 </script></body></html>
 """
 
