@@ -146,6 +146,16 @@ def test_live_checks_know_their_warehouses(spark, capsys, shop):
         assert code == 0 and word in err and "Schema evolution" in out
 
 
+def test_schemas_that_are_lost_are_pointed_out(spark, capsys, shop):
+    manifest = json.loads((shop / "target" / "manifest.json").read_text())
+    model = next(n for n in manifest["nodes"].values() if n["name"] == "stg_orders")
+    model["compiled_code"] = "select from where ("
+    (shop / "target" / "manifest.json").write_text(json.dumps(manifest))
+    code, out, err = run(spark, capsys, "diff", "--project-dir", shop, "--state", shop.parent / "old.json", "--no-color")
+    assert code == 0 and "column removed: status" in out
+    assert "the columns of model.shop.stg_orders are not known any more" in err and "all_ids" not in err
+
+
 def test_addons(tmp_path, monkeypatch):
     program = tmp_path / "veinmap-hello"
     program.write_text('#!/bin/sh\nexit "$1"\n')

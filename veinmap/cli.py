@@ -92,6 +92,8 @@ def compare(spark: SparkSession, args: argparse.Namespace) -> int:
     current = build(spark, manifest).cached()
     changes = hold(diff(older, current))
     findings = hold(evaluate(older.edges, changes, config.severities()))
+    for r in rep.lost_schemas(older.nodes, current.nodes).orderBy("node_id").toLocalIterator():
+        print(f"warning: the columns of {r.node_id} are not known any more; they count as removed, though its SQL may still have them", file=sys.stderr)
     checks = None
     if args.check_relations:
         nodes = [r.node for r in rep.schema_evolution(changes, current.nodes).select("node").distinct().collect()]

@@ -29,6 +29,12 @@ def impacted_models(findings: DataFrame) -> DataFrame:
     return impacted_nodes(findings).select(display_name(F.col("node_id")).alias("name"), "node_id", "first_idx")
 
 
+def lost_schemas(old_nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:
+    """(node_id): nodes whose schema was known and is not any more; all their columns count as removed, which may be wrong."""
+    lost = new_nodes.filter("unresolved").select("node_id")
+    return lost.join(old_nodes.filter("NOT unresolved").select("node_id"), "node_id", "left_semi")
+
+
 def describe(change: str | None = None) -> Column:
     """One line about a change."""
     c = F.col
