@@ -136,7 +136,15 @@ def test_clean_texts_stay(spark):
 
 
 def test_query(spark):
+    """Counts by regular expressions, verdicts by walking each tree for each text."""
     got = {r.doc_id: r for r in queries.queries()["op8_quality"](spark, SF).collect()}
-    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    for r in docs.collect():
         g = got[r.doc_id]
-        assert [g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words] == counts(r.text)
+        n = counts(r.text)
+        assert [g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words] == n
+        failed = n[0] < 10 or 100 * n[4] > 20 * n[0]
+        score = 1 / (1 + np.exp(-walk(model, quality.statistics((r.text or "").encode())[1])))
+        assert g.base_failed == failed and g.score == pytest.approx(score) and g.kept == (not failed and g.score >= 0.5)
+    assert len({g.kept for g in got.values()}) == 2

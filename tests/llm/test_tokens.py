@@ -7,7 +7,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests.conftest import SF
 from tests.llm.fixtures import TEXTS, documents, empty
+from veinmap.llm import queries
 from veinmap.llm import token_output as tok
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -76,6 +78,17 @@ def test_files_read_back(spark, whole):
     assert not left
 
 
+def test_query(spark, whole):
+    """Every document through the library, whole and by itself."""
+    got = sorted((tuple(r) for r in queries.queries()["op1_token_output"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
+    start = 0
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    for (doc_id, text), row in zip(docs, got, strict=True):
+        ids = np.array([*whole(text), 1], "<u4")
+        assert row == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_wide_ids_and_empty_tables(spark, whole):
     files = tok.write_tokens(documents(spark), PATH, vocabulary=1 << 20)
     assert files.dtype == "<u4" and tok.read_index(spark, files).count() == len(TEXTS) + 4

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -116,6 +117,21 @@ def test_small_cache_scores_alike():
     assert [big(t) for t in texts] == [small(t) for t in texts]
 
 
+def test_query(spark):
+    """Scores by the formula: the weights of all words and word beginnings that a text has, each once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), trains=lambda c: ~toxicity.is_held_out(c))
+    got = {r.doc_id: r for r in queries.queries()["op9_toxicity"](spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words = set(re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", (r.text or "").lower()).split(" ")) - {""}
+        features = {w.encode() for w in words} | {b"^" + w.encode()[:k] for w in words for k in (4, 5, 6) if len(w.encode()) >= k}
+        score = 1 / (1 + np.exp(-(model.bias + sum(w for f, w in model.weights.items() if f in features))))
+        g = got[r.doc_id]
+        assert g.score == pytest.approx(score) and g.predicted == (g.score >= 0.3) and g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_held_out_rule(spark):
     ids = spark.createDataFrame([(k,) for k in [*range(200), None, -5]], "doc_id long")
     for r in ids.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("h")).collect():
