@@ -31,8 +31,8 @@ from .common import array_chunks, scratch, small_batches
 from .files import mapped, new_file
 
 MAGIC = int.from_bytes(b"VMTOKIX1", "little")
-CACHE_WORDS = 400_000
-CACHE_BYTES = 16 << 20
+CACHE_WORDS = 800_000
+CACHE_BYTES = 32 << 20
 CHUNK_BYTES = 4 << 20
 STOPS = (b".", b",")
 
