@@ -17,6 +17,7 @@ all texts, so that scores depend on texts only.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from dataclasses import dataclass
@@ -86,9 +87,14 @@ def features_of(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
+@functools.lru_cache(16)
+def _changes(groups: tuple) -> dict[bytes, bytes]:
+    return {a.encode(): b.encode() for g in groups for a, b in zip(g, g[1:] + g[:1])}
+
+
 def swapped(words: set[bytes], groups) -> set[bytes] | None:
     """The words with each identity term exchanged for the next of its group; None without any term. groups: tuples of terms."""
-    change = {a.encode(): b.encode() for g in groups for a, b in zip(g, g[1:] + g[:1])}
+    change = _changes(tuple(groups))
     return {change.get(w, w) for w in words} if words & change.keys() else None
 
 
@@ -214,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_la
     z = (F.col("n1") - n * share) / F.sqrt(n * share * (1 - share))
     counts = sample.mapInArrow(_counts, "feature binary, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     chosen = counts.filter(n >= least_texts).withColumn("z", F.abs(z)).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_features).select("feature")
-    groups_ = [g for language in sorted(groups) for g in groups[language]]
+    groups_ = tuple(tuple(g) for language in sorted(groups) for g in groups[language])
     terms = {f for g in groups_ for t in g for f in features_of(t.encode())}
     features = sorted({bytes(x.feature) for x in chosen.collect()} | terms)
     place = {f: k for k, f in enumerate(features)}
@@ -231,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column | None = None, max_la
                 pairs = [[(a, b) for a, b in p if a != b] for p in pairs]  # alike already
                 yield pa.RecordBatch.from_arrays([given, pa.array([codes(words_of(t)) for t in texts], kind), *(pa.array([[x[k] for x in p] for p in pairs], pa.list_(kind)) for k in (0, 1))], ["label", "codes", "one", "other"])
 
-    found = sorted(((r.label, r.codes, r.one, r.other) for r in sample.mapInArrow(rows, "label int, codes array<int>, one array<array<int>>, other array<array<int>>").toLocalIterator()), key=repr)
+    gathered = sample.mapInArrow(rows, "label int, codes array<int>, one array<array<int>>, other array<array<int>>").toArrow()  # max_labelled rows at most
+    found = sorted(zip(*(c.to_pylist() for c in gathered.columns)), key=repr)
     pairs = [x for _, _, one, other in found for x in zip(one, other)]
     w, bias = fit_logistic([c for _, c, _, _ in found], np.array([y for y, _, _, _ in found], float), pairs, len(features), counter=counter)
     return Model({f: float(x) for f, x in zip(features, w) if abs(x) > 1e-4}, bias, len(pairs))
